@@ -96,7 +96,8 @@ _LEVEL = "doc_id long, source string, text_hash long, size long, source_size lon
 
 def _rounder(level: int, last: bool):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "size", "text_hash", "block"], kind="stable").reset_index(drop=True)
+        # from large to small: what is left fractional is then small
+        pdf = pdf.sort_values(["size", "doc_id", "text_hash", "block"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         p = pdf["p"].to_numpy(dtype=float).copy()
         name = (level, repr(pdf["source"].iloc[0]), int(key[1]))
         held = round_block(pdf["size"].to_numpy(), p, name)
