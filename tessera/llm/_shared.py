@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +63,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
         if not batch.num_rows:
             continue
         col = batch.column(column)
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         at = np.searchsorted(np.cumsum(sizes) - sizes, np.arange(0, sizes.sum() + 1, most))
         cuts = np.unique(np.concatenate([at, [0, batch.num_rows]]))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):

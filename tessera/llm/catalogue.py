@@ -1,7 +1,7 @@
 """The training-data queries and their SQL."""
 
-from . import exact_dedup, mixing, sharding, simhash
+from . import decontamination, exact_dedup, mixing, sharding, simhash
 
-MODULES = (simhash, mixing, exact_dedup, sharding)
+MODULES = (simhash, mixing, exact_dedup, decontamination, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
