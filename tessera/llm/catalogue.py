@@ -1,7 +1,7 @@
 """The training-data queries and their SQL."""
 
-from . import decontamination, exact_dedup, licenses, mixing, sharding, simhash
+from . import decontamination, exact_dedup, licenses, mixing, quality, sharding, simhash
 
-MODULES = (simhash, mixing, exact_dedup, decontamination, licenses, sharding)
+MODULES = (simhash, mixing, exact_dedup, quality, decontamination, licenses, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
