@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 SHINGLE, RADIUS, SEED = 4, 2, 42
-ROUNDS, BUCKET_BYTES, BLOCK = 4, 32 << 20, 2048
+ROUNDS, BUCKET_BYTES, BLOCK = 8, 32 << 20, 2048
+#: Fingerprints to a task that emits balls.
+TASK_PRINTS = 16 * BLOCK
 _ODD = 0x9E3779B97F4A7C15
 _LANES = np.uint64(0x0101010101010101)
 _LOW = np.uint64(BLOCK - 1)
@@ -188,11 +190,11 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
     n = S.count_by_partition(fps)
     words = n * len(ball(radius))
     buckets = 1 << max(rounds * 8, -(-words * 8 // BUCKET_BYTES), 1).bit_length()
-    out = None
+    out, spread = None, fps.select("fp").repartition(-(-n // TASK_PRINTS) or 1)
     for r in range(rounds):
         lo, hi = buckets * r // rounds, buckets * (r + 1) // rounds
-        packed = fps.select("fp").mapInArrow(_emitter(radius, buckets, lo, hi), "bucket int, block binary, words binary")
-        part = S.cut(packed.groupBy("bucket").applyInPandas(_linker(radius), "a long, b long"), "links")
+        packed = spread.mapInArrow(_emitter(radius, buckets, lo, hi), "bucket int, block binary, words binary")
+        part = S.cut(packed.repartition(hi - lo, "bucket").groupBy("bucket").applyInPandas(_linker(radius), "a long, b long"), "links")
         out = part if out is None else out.unionByName(part)
         S.free_shuffles(spark)
     return out
