@@ -1,4 +1,7 @@
 """The library's queries over the driver's tables and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tessera.plans import measurement
+
+MODULES = (measurement,)
+QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
+ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
