@@ -68,13 +68,13 @@ def hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(child, parent): nations under regions, regions under one root, and customers' segments under two nations."""
     n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     edges = n.select(F.col("n_name").alias("child"), F.col("r_name").alias("parent")).unionByName(read(spark, sf_dir, "region").select(F.col("r_name").alias("child"), F.lit("WORLD").alias("parent")))
-    seg = read(spark, sf_dir, "customer").where("c_custkey < 200").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    seg = read(spark, sf_dir, "customer").join(read(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return edges.unionByName(seg.select(F.concat(F.lit("SEG_"), F.col("c_mktsegment"), F.lit("_"), F.col("c_custkey") % 7).alias("child"), F.col("n_name").alias("parent")).distinct())
 
 
 HIERARCHY = """
 edges(child, parent) AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey UNION SELECT r_name, 'WORLD' FROM region
-  UNION SELECT 'SEG_' || c_mktsegment || '_' || CAST(c_custkey % 7 AS VARCHAR), n_name FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200),
+  UNION SELECT 'SEG_' || c_mktsegment || '_' || CAST(c_custkey % 7 AS VARCHAR), n_name FROM customer JOIN nation ON c_nationkey = n_nationkey),
 up(id, ancestor) AS (SELECT child, parent FROM edges UNION SELECT up.id, e.parent FROM up JOIN edges e ON e.child = up.ancestor)
 """
 
