@@ -69,6 +69,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYT
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
             part = batch.slice(int(lo), int(hi - lo))
             yield part, [x or b"" for x in part.column(column).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 def count_by_partition(df: DataFrame) -> int:

@@ -227,8 +227,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold:
         def run(batches: Iterator[pa.RecordBatch], held=held, column=column) -> Iterator[pa.RecordBatch]:
             items, wanted = held.value
             for batch in batches:
-                texts = batch.column(column).to_pylist()
-                yield batch.filter(pa.array([not (t and pairs_of(items, wanted, items.encode(t.encode()), threshold)) for t in texts], pa.bool_()))
+                clean = []
+                for at in range(0, batch.num_rows, 256):
+                    texts = batch.column(column).slice(at, 256).to_pylist()
+                    clean += [not (t and pairs_of(items, wanted, items.encode(t.encode()), threshold)) for t in texts]
+                yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept

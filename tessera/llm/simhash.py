@@ -25,7 +25,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 SHINGLE, RADIUS, SEED = 4, 2, 42
-ROUNDS, BUCKET_BYTES, BLOCK = 8, 32 << 20, 2048
+ROUNDS, BUCKET_BYTES, BLOCK, MASKS = 8, 16 << 20, 2048, 128
 #: Fingerprints to a task that emits balls.
 TASK_PRINTS = 16 * BLOCK
 _ODD = 0x9E3779B97F4A7C15
@@ -100,21 +99,25 @@ def _emitter(radius: int, buckets: int, lo: int, hi: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ball(radius)
-        edges = np.arange(lo, hi + 1)
         for batch in batches:
             fps = np.asarray(batch.column(0)).view(np.uint64)
             for at in range(0, len(fps), BLOCK):
                 block = np.ascontiguousarray(fps[at : at + BLOCK])
-                words = (block[:, None] ^ masks[None, :]) * np.uint64(_ODD)
-                words = (words & ~_LOW) | np.arange(len(block), dtype=np.uint64)[:, None]
-                words = words.ravel()
-                if buckets > 1:
-                    of = words >> shift
-                    words = words[(of >= np.uint64(lo)) & (of < np.uint64(hi))]
+                numbers, parts = np.arange(len(block), dtype=np.uint64)[:, None], []
+                for m in range(0, len(masks), MASKS):  # a few masks at once: what other rounds take goes before it adds up
+                    w = block[:, None] ^ masks[None, m : m + MASKS]
+                    w *= np.uint64(_ODD)
+                    w &= ~_LOW
+                    w |= numbers
+                    of = w >> shift
+                    parts.append(w[(of >= np.uint64(lo)) & (of < np.uint64(hi))])
+                words = np.concatenate(parts)
                 words.sort()
-                ends = np.searchsorted(words >> shift if buckets > 1 else np.zeros(len(words), dtype=np.uint64), edges.astype(np.uint64))
-                packed = [(k, words[a:b]) for k, a, b in zip(edges[:-1].tolist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([block.tobytes()] * len(packed), pa.binary()), pa.array([w.tobytes() for _, w in packed], pa.binary())], names=["bucket", "block", "words"])
+                ends = np.append(np.searchsorted(words, np.arange(lo, hi, dtype=np.uint64) << shift), len(words)).tolist()
+                packed = [(k, words[a:b].tobytes()) for k, a, b in zip(range(lo, hi), ends[:-1], ends[1:], strict=True) if a < b]
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([block.tobytes()] * len(packed), pa.binary()), pa.array([w for _, w in packed], pa.binary())], names=["bucket", "block", "words"])
+                del words, parts, packed
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -144,21 +147,24 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def collisions(blocks: list[np.ndarray], packed: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Verified edges (to the smallest fingerprint) among those that share a ball word."""
-    tops = np.concatenate(packed) & ~_LOW
-    ordered = np.sort(tops)
+    words = np.concatenate(packed)
+    ordered = words & ~_LOW
+    ordered.sort()
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    del ordered
     if not len(shared):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
     # a bitmap of the shared words' bits 11 to 34 leaves few of the others; the sorted list then decides
     marks = np.zeros(1 << 24, dtype=bool)
     marks[((shared >> np.uint64(11)) & np.uint64(0xFFFFFF)).astype(np.int64)] = True
-    keep = np.flatnonzero(marks[((tops >> np.uint64(11)) & np.uint64(0xFFFFFF)).astype(np.int64)])
-    group = np.searchsorted(shared, tops[keep])
-    exact = (group < len(shared)) & (shared[np.minimum(group, len(shared) - 1)] == tops[keep])
+    keep = np.concatenate([at + np.flatnonzero(marks[((words[at : at + (1 << 18)] >> np.uint64(11)) & np.uint64(0xFFFFFF)).astype(np.int64)]) for at in range(0, len(words), 1 << 18)])
+    tops = words[keep] & ~_LOW
+    group = np.searchsorted(shared, tops)
+    exact = (group < len(shared)) & (shared[np.minimum(group, len(shared) - 1)] == tops)
     keep, group = keep[exact], group[exact]
     part = np.searchsorted(np.cumsum([len(w) for w in packed]), keep, "right")
     start = np.cumsum([0, *(len(b) for b in blocks)])
-    fp = np.concatenate(blocks)[start[part] + (np.concatenate(packed)[keep] & _LOW).astype(np.int64)]
+    fp = np.concatenate(blocks)[start[part] + (words[keep] & _LOW).astype(np.int64)]
     order = np.lexsort((fp, group))
     group, fp = group[order], fp[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -176,10 +182,11 @@ def collisions(blocks: list[np.ndarray], packed: list[np.ndarray], radius: int)
 
 
 def _linker(radius: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = collisions([np.frombuffer(x, np.uint64) for x in pdf["block"]], [np.frombuffer(x, np.uint64) for x in pdf["words"]], radius)
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        blocks, packed = ([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(c)] for c in ("block", "words"))
+        a, b = collisions(blocks, packed, radius)
         a, b = forest(a, b) if len(a) else (a, b)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
 
@@ -189,12 +196,12 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
     spark = fps.sparkSession
     n = S.count_by_partition(fps)
     words = n * len(ball(radius))
-    buckets = 1 << max(rounds * 8, -(-words * 8 // BUCKET_BYTES), 1).bit_length()
+    buckets = 1 << max(rounds, -(-words * 8 // BUCKET_BYTES), 1).bit_length()
     out, spread = None, fps.select("fp").repartition(-(-n // TASK_PRINTS) or 1)
     for r in range(rounds):
         lo, hi = buckets * r // rounds, buckets * (r + 1) // rounds
         packed = spread.mapInArrow(_emitter(radius, buckets, lo, hi), "bucket int, block binary, words binary")
-        part = S.cut(packed.repartition(hi - lo, "bucket").groupBy("bucket").applyInPandas(_linker(radius), "a long, b long"), "links")
+        part = S.cut(packed.repartition(2 * (hi - lo), "bucket").groupBy("bucket").applyInArrow(_linker(radius), "a long, b long"), "links")
         out = part if out is None else out.unionByName(part)
         S.free_shuffles(spark)
     return out
