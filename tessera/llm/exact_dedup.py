@@ -14,6 +14,8 @@ and kept by `deduplicate`; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +67,8 @@ def _with_bucket(df: DataFrame, g: int, slots: list[int]) -> DataFrame:
     """The directory has at most 2 ** MAX_DEPTH slots (under 1 MB), so it is broadcast."""
     if g == 0:
         return df.withColumn("bucket", F.lit(0))
-    table = df.sparkSession.createDataFrame(list(enumerate(slots)), "slot long, bucket int")
+    listed = F.from_json(F.lit(json.dumps(slots)), "array<int>")
+    table = df.sparkSession.range(1).select(F.posexplode(listed).alias("slot", "bucket")).withColumn("slot", F.col("slot").cast("long"))
     return df.withColumn("slot", _leading("h", g)).join(F.broadcast(table), "slot").drop("slot")
 
 
