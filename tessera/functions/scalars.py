@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tessera import schemas
 
@@ -121,14 +124,16 @@ def save_kind(source: Column) -> Column:
 
 
 def source_of_url(url: Column) -> Column:
-    """Which listing a page response belongs to, by its path; null for other urls."""
-    part = F.regexp_extract(url, r"/api/(?:.*/)?([^/?]+)/item_list", 1)
+    """Which listing a page response belongs to, by the path segment before item_list; null for other urls."""
+    part = F.lower(F.regexp_extract(url, r"(?i)/([a-z_]+)/item_list", 1))
     name = F.when(part == "collect", "favorites").when(part == "favorite", "likes").when(part == "post", "posts").when(part == "repost", "reposts").when(part != "", part).otherwise("other")
-    return F.when(url.rlike(r"/api/.*item_list"), name)
+    return F.when(url.rlike(r"(?i)/api/[^?]*item_list"), name)
 
 
 def is_profile(url: Column) -> Column:
-    return url.rlike(r"^https?://(?:[^/]+\.)?tiktok\.com/@[^/?#]+/?(?:[?#].*)?$")
+    """A page of a handle, and not of one of its videos or photos."""
+    path = F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    return path.rlike("^/@[^/]+") & ~path.rlike("/(video|photo)/")
 
 
 def iso_utc(seconds: Column) -> Column:
@@ -167,19 +172,28 @@ def recall_of(a: Column, b: Column) -> Column:
     return F.when(n == 0, 1.0).otherwise(ratio(F.size(F.array_intersect(a, b)), n))
 
 
-def vtt_text(c: Column) -> Column:
+_TAG, _HEAD = re.compile("<[^>]+>"), re.compile(r"^WEBVTT(?:\s|$)")
+_NOTE, _META = re.compile(r"^NOTE\b"), re.compile(r"^(?:Kind|Language|Region|Style):", re.IGNORECASE)
+
+
+def transcript(vtt: str) -> str:
     """Plain text of WebVTT captions: no header, notes, cue ids, timings or tags; lines that repeat the one before go."""
-    lines = F.transform(F.split(F.coalesce(c, F.lit("")), r"\r?\n"), lambda x: F.trim(x))
-    def step(s: Column, at: Column) -> Column:
-        line, after = at["line"], at["after"]
-        text = F.trim(F.regexp_replace(line, "<[^>]+>", ""))
-        note = line.rlike(r"^NOTE\b")
-        skip = (line == "") | s["note"] | note | line.rlike(r"^WEBVTT(?:\s|$)") | line.contains("-->") | after.contains("-->") | line.rlike(r"(?i)^(Kind|Language|Region|Style):") | (text == "") | (text == s["last"])
-        return F.struct(
-            F.when(line == "", F.lit(False)).otherwise(s["note"] | (note & ~line.rlike(r"^WEBVTT(?:\s|$)"))).alias("note"),
-            F.when(skip, s["last"]).otherwise(text).alias("last"),
-            F.when(skip, s["out"]).otherwise(F.concat(s["out"], F.array(text))).alias("out"),
-        )
-    pairs = F.transform(lines, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(lines, i + 1), F.lit("")).alias("after")))
-    start = F.struct(F.lit(False).alias("note"), F.lit("").alias("last"), F.array().cast("array<string>").alias("out"))
-    return F.aggregate(pairs, start, step, lambda s: F.array_join(s["out"], " "))
+    lines = [x.strip() for x in re.split(r"\r?\n", vtt)]
+    out, note = [], False
+    for line, after in zip(lines, [*lines[1:], ""], strict=True):
+        if not line:
+            note = False
+        elif note or _HEAD.match(line):
+            continue
+        elif _NOTE.match(line):
+            note = True
+        elif "-->" not in line and "-->" not in after and not _META.match(line):
+            text = _TAG.sub("", line).strip()
+            if text and (not out or out[-1] != text):
+                out.append(text)
+    return " ".join(out)
+
+
+@F.pandas_udf(StringType())
+def vtt_text(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: transcript(x or ""))

@@ -6,6 +6,7 @@ import hashlib
 import hmac
 import re
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -44,6 +45,7 @@ def _common(a: str, b: str) -> int:
     return len(a) - v.bit_count()
 
 
+@lru_cache(65_536)
 def token_set_ratio(a: str, b: str) -> float:
     """0 to 100: the best of comparing the two differences and each difference with the common tokens."""
     x, y = set(a.split()), set(b.split())

@@ -85,7 +85,7 @@ def test_sync_converges(spark):
 
 def test_vtt(spark):
     vtt = "WEBVTT\nKind: captions\n\nNOTE hidden\nstill hidden\n\n1\n00:00.000 --> 00:01.000\n<c>Hello</c>\n\n2\n00:01.000 --> 00:02.000\nHello\nworld\n"
-    assert spark.createDataFrame([(vtt,)], "t string").select(X.vtt_text(F.col("t"))).first()[0] == "Hello world"
+    assert spark.createDataFrame([(vtt,)], "t string").select(X.vtt_text("t")).first()[0] == "Hello world"
 
 
 def test_vault_suffixes(spark):
