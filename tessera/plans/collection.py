@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +15,7 @@ from tessera.operators import library as L
 from tessera.operators import linking
 from tessera.plans import adapters as P
 from tessera.plans.measurement import _ratio, rounded
+from tessera.session import shared_root
 from tessera.sources import pages, sinks
 from tessera.streaming import capture
 
@@ -75,8 +75,7 @@ def malformed_and_driving_arrivals(spark: SparkSession, sf_dir: str) -> DataFram
 @query(f"WITH {P.ARRIVALS}, {_MERGED} SELECT w.id, w.value, w.k, tg.sources FROM lastrow JOIN w ON w.id = lastrow.id AND w.seq = lastrow.seq JOIN tg ON tg.id = w.id")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same arrivals as a stream of three files in arrival order, merged batch by batch into a keyed table."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    base = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/stream-{uuid.uuid4().hex}"
     rows = P.arrivals(spark, sf_dir).drop("ts")
     third = F.floor(F.col("seq") * 3 / (1 + F.lit(rows.agg(F.max("seq")).first()[0])))
     for i in range(3):
@@ -91,8 +90,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The completion reducer over event types as sources, as a stream; a state machine has no SQL."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    base = f"{root.rstrip('/')}/completion-{uuid.uuid4().hex}"
+    base = f"{shared_root(spark)}/completion-{uuid.uuid4().hex}"
     rows = P.arrivals(spark, sf_dir)
     last = rows.agg(F.max("seq")).first()[0]
     n = F.approx_count_distinct("id").over(Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))

@@ -29,3 +29,13 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(archive))
         sc._tessera_shipped = True
     return spark
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; only a local session may go without it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
