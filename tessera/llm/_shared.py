@@ -12,8 +12,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that a Python worker turns into objects at once.
-BLOCK_BYTES = 4 << 20
+#: Bytes of text that a Python worker turns into objects at once, and bytes to an Arrow batch if the session has no own wish.
+BLOCK_BYTES, BATCH_BYTES = 4 << 20, 4 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """docs, once the session sends texts to workers in small batches; a size set by its owner stays."""
+    conf = docs.sparkSession.conf
+    if conf.get(_BATCH, None) in (f"{_BATCH_DEFAULT}b", str(_BATCH_DEFAULT), "64m", "64MB"):
+        conf.set(_BATCH, str(BATCH_BYTES))
+    return docs
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

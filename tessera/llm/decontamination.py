@@ -191,7 +191,7 @@ def _counts(docs: DataFrame, held, n_grams: int) -> np.ndarray:
 
 
 def _finders(docs: DataFrame, benchmark: DataFrame, n: int):
-    sc = docs.sparkSession.sparkContext
+    sc = S.small_batches(docs).sparkSession.sparkContext
     for items in item_blocks(benchmark, n):
         if len(items.grams):
             held = sc.broadcast(items)

@@ -26,7 +26,7 @@ def label_sample(labels: DataFrame, label: str, mod: int, rest: int, most: int)
 
 def labelled(docs: DataFrame, sample: DataFrame) -> DataFrame:
     """doc_id, y and bytes of the sampled documents; documents are not shuffled."""
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes"))
+    narrow = S.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes"))
     return narrow.join(F.broadcast(sample), F.col("doc_id") == F.col("label_id")).select("doc_id", F.col("y").cast("double").alias("y"), "bytes")
 
 

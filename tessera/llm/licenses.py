@@ -129,7 +129,7 @@ def corpus_counts(docs: DataFrame, scanner: Scanner) -> dict[bytes, int]:
                 total += np.bincount(ids[ids >= 0], minlength=size)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size)), pa.array(total)], names=["word", "seen"])
 
-    rows = docs.select(S.text_bytes().alias("bytes")).mapInArrow(run, "word long, seen long").groupBy("word").agg(F.sum("seen").alias("seen")).collect()
+    rows = S.small_batches(docs).select(S.text_bytes().alias("bytes")).mapInArrow(run, "word long, seen long").groupBy("word").agg(F.sum("seen").alias("seen")).collect()
     return {scanner.order[r["word"]]: r["seen"] for r in rows}
 
 

@@ -71,7 +71,7 @@ def strip_boilerplate(docs: DataFrame, sites: int = SITES, broadcast_lines: int
     lines = boilerplate(docs, sites)
     if S.count_by_partition(lines) <= broadcast_lines:
         hashes = np.array([r["h"] for r in lines.toLocalIterator()], dtype=np.int64).view(np.uint64)
-        held = docs.select("*", S.text_bytes().alias("text_utf8"))
+        held = S.small_batches(docs).select("*", S.text_bytes().alias("text_utf8"))
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
         return held.mapInArrow(_cleaner(hashes), f"{schema}, n_lines long, n_removed long, clean_text string")
     text = F.coalesce(F.col("text"), F.lit(""))

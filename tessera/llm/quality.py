@@ -125,7 +125,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part, texts in S.blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(model.score(texts))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, score double")
+    return S.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:
@@ -139,7 +139,7 @@ def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFram
                 scores = np.concatenate([model.score([(x or "").encode() for x in texts.slice(at, 256).to_pylist()]) for at in range(0, len(texts), 256)])
                 yield batch.filter(pa.array(scores >= accept))
 
-    return docs.mapInArrow(run, docs.schema)
+    return S.small_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

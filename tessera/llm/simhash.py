@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, n: int = SHINGLE, seed: int = SEED) -> DataFra
         for part, texts in S.blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(texts, n, seed).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, fp long")
+    return S.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, fp long")
 
 
 def ball(radius: int) -> np.ndarray:

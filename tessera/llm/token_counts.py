@@ -103,7 +103,7 @@ def count(docs: DataFrame, vocabulary_path: str = VOCABULARY, rule: str = "start
             section = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), pa.array(section), pa.array(np.concatenate([e[:-1] for e in edges_])), pa.array(np.concatenate([e[1:] for e in edges_])), pa.array(np.concatenate(counts))], names=["doc_id", "section", "first_char", "end_char", "tokens"])
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes"))
+    narrow = S.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes"))
     return narrow.mapInArrow(run, "doc_id long, section long, first_char long, end_char long, tokens double")
 
 

@@ -205,7 +205,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for part, texts in S.blocks(batches, 1):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(held.value.score(texts))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, score double")
+    return S.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, "doc_id long, score double")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
