@@ -50,6 +50,16 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` made and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.startswith((shared_root(spark), "file:" + shared_root(spark).removeprefix("file://"), "file://" + shared_root(spark).removeprefix("file://"))):
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of plans nobody holds any more, between rounds of one operator."""
     gc.collect()

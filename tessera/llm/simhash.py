@@ -211,7 +211,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, root) for every node a of the edges that is not the smallest of its component.
 
     Alternates large-star (every node's larger neighbours hang on its smallest) and small-star (its smaller neighbours
-    do) until nothing changes; minima aggregate before the shuffle and joins on hot nodes can be split.
+    do) until nothing changes. Minima aggregate before the shuffle and are written, so that both sides of a join are
+    plain tables and a hot node's rows can be split among tasks. Tables of earlier steps are deleted as they are replaced.
     """
     e = S.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     seen = None
@@ -221,12 +222,13 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select("a", F.col("b").alias("root"))
         seen = tuple(mark)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = S.cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = S.cut(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = S.cut(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = S.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        old, e = e, S.cut(small.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "edges")
+        S.discard(old, least, large, low)
 
 
 def cluster(prints: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
@@ -235,7 +237,7 @@ def cluster(prints: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> Da
     root = components(links(nodes, radius, rounds))
     rooted = nodes.join(root, nodes["fp"] == root["a"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = S.cut(rooted, "rooted")
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    ids = S.cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "ids")
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
