@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 SHARDS, LAW, OVERHEAD = 40, "bytes", 16
-#: Rows to a range on average, fewest ranges to a shard, sampled keys to a range, and times its share at which a range is overfull.
-RANGE_ROWS, LEAST_RANGES, SAMPLED, OVERFULL = 200_000, 4, 64, 2.0
-#: No more splitters than these are held at once (16 bytes each); beyond, ranges grow.
-MOST_RANGES = 1_000_000
+#: Rows and bytes to a range on average, fewest ranges to a shard, sampled keys to a range, and times its share at which a range is overfull.
+RANGE_ROWS, RANGE_BYTES, LEAST_RANGES, SAMPLED, OVERFULL = 200_000, 128 << 20, 4, 64, 2.0
+#: No more splitters (16 bytes each) and sampled keys (24 bytes) than these are held at once; beyond, ranges grow.
+MOST_RANGES, MOST_SAMPLED = 200_000, 4_000_000
 
 
 def size_of(column: str = "text") -> Column:
@@ -54,40 +54,42 @@ def _assigner(spark: SparkSession, splitters: list[tuple[int, int]]):
     return assign
 
 
-def _sample(keys: DataFrame, rate: Column) -> list[tuple[int, int, float]]:
-    """(h, d, weight) of the keys drawn with odds min(1, size * rate), ascending; a draw depends on its row alone."""
+def _sample(keys: DataFrame, rate: Column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """h, d and weight of the keys drawn with odds min(1, size * rate), ascending; a draw depends on its row alone."""
     odds = F.least(F.col("size") * rate, F.lit(1.0))
     u = F.shiftrightunsigned(F.xxhash64("h", "d", F.lit(7)), 11).cast("double") / float(2**53)
     drawn = keys.where(u < odds).select("h", "d", (F.col("size") / odds).alias("w"))
-    return sorted((r["h"], r["d"], r["w"]) for r in drawn.toLocalIterator())
+    got = drawn.toArrow()  # MOST_SAMPLED rows or so
+    h, d, w = (got.column(c).to_numpy() for c in ("h", "d", "w"))
+    order = np.lexsort((d, h))
+    return h[order], d[order], w[order]
 
 
-def _quantiles(sample: list[tuple[int, int, float]], ranges: int) -> list[tuple[int, int]]:
+def _quantiles(h: np.ndarray, d: np.ndarray, w: np.ndarray, ranges: int) -> set[tuple[int, int]]:
     """At most ranges - 1 distinct splitters at equal weights."""
-    if not sample:
-        return []
-    at = np.cumsum([w for _, _, w in sample])
-    picks = np.searchsorted(at, at[-1] * np.arange(1, ranges) / ranges)
-    return sorted({sample[min(int(i), len(sample) - 1)][:2] for i in picks})
+    if not len(h):
+        return set()
+    at = np.cumsum(w)
+    picks = np.minimum(np.searchsorted(at, at[-1] * np.arange(1, ranges) / ranges), len(h) - 1)
+    return set(zip(h[picks].tolist(), d[picks].tolist(), strict=True))
 
 
 def splitters(keys: DataFrame, rows: int, total: int, shards: int) -> list[tuple[int, int]]:
     """Boundaries of ranges; overfull ones are subdivided until none is or its keys cannot be told apart."""
     spark = keys.sparkSession
-    ranges = min(MOST_RANGES, max(shards * LEAST_RANGES, -(-rows // RANGE_ROWS)))
+    ranges = min(MOST_RANGES, max(shards * LEAST_RANGES, -(-rows // RANGE_ROWS), -(-total // RANGE_BYTES)))
     share = total / ranges
-    bounds = _quantiles(_sample(keys, F.lit(ranges * SAMPLED / max(total, 1))), ranges)
+    bounds = sorted(_quantiles(*_sample(keys, F.lit(min(ranges * SAMPLED, MOST_SAMPLED) / max(total, 1))), ranges))
     for _ in range(4):
-        assign = _assigner(spark, bounds)
-        placed = keys.withColumn("range", assign("h", "d"))
+        placed = keys.withColumn("range", _assigner(spark, bounds)("h", "d"))
         over = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).where(F.col("bytes") > OVERFULL * share + F.col("most")).collect()  # at most one row a range
         if not over or len(bounds) >= MOST_RANGES:
             break
         pieces = {r["range"]: 2 * -(-r["bytes"] // int(share + 1)) for r in over}
-        drawn = _sample(placed.where(F.col("range").isin(list(pieces))), F.lit(4 * SAMPLED / share))
-        split_h, split_d = (np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1))
-        of = _range_of(np.array([x[0] for x in drawn], dtype=np.int64), np.array([x[1] for x in drawn], dtype=np.int64), split_h, split_d) if drawn else []
-        more = {b for k, n in pieces.items() for b in _quantiles([x for x, r in zip(drawn, of, strict=True) if r == k], n)}
+        dense = min(4 * SAMPLED / share, MOST_SAMPLED / sum(r["bytes"] for r in over))
+        h, d, w = _sample(placed.where(F.col("range").isin(list(pieces))), F.lit(dense))
+        of = _range_of(h, d, *(np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1)))
+        more = set().union(*(_quantiles(h[of == k], d[of == k], w[of == k], n) for k, n in pieces.items()))
         if more <= set(bounds):
             break
         bounds = sorted(more | set(bounds))
