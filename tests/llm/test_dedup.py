@@ -131,6 +131,33 @@ def test_near_dedup_edges_keep_columns_and_null_ids(spark):
     assert near_dedup.keep_one(frame(spark, [])).count() == 0
 
 
+def variants(n, words, edits, seed):
+    """n copies of one text, each with 2, 4, ... random words replaced."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        text = list(base)
+        for i in rng.sample(range(words), rng.choice(edits)):
+            text[i] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(text))
+    return out
+
+
+@pytest.mark.parametrize("n, most", [(400, near_dedup.PAIRS), (60, 2_000)])
+def test_near_dedup_compares_all_variants_that_share_a_bucket(spark, n, most):
+    """One candidate component: the groups are those of brute force, by listed pairs and by rounds of leaders."""
+    texts = variants(n, 200, (2, 4, 6), n)
+    _, _, _, minima = near_dedup._print_block([t.encode() for t in texts])
+    units = spark.createDataFrame([(i, [int(x) for x in m]) for i, m in enumerate(minima)], "uid long, minima array<long>")
+    own = near_dedup.buckets(units, units.select("uid", F.lit(0).cast("long").alias("root")))
+    rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "uid long, bytes binary")
+    sets = rows.mapInArrow(near_dedup._shingled, "uid long, shingles binary")
+    root = dict(near_dedup.joined(own, sets, most, 0).collect())
+    kept = {i for i in range(n) if i not in root}
+    assert kept == jaccard_groups(dict(enumerate(texts))) and 1 < len(kept) < n
+
+
 def waterfill(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
