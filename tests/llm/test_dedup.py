@@ -148,7 +148,7 @@ def variants(n, words, edits, seed):
 def test_near_dedup_compares_all_variants_that_share_a_bucket(spark, n, most):
     """One candidate component: the groups are those of brute force, by listed pairs and by rounds of leaders."""
     texts = variants(n, 200, (2, 4, 6), n)
-    _, _, _, minima = near_dedup._print_block([t.encode() for t in texts])
+    _, _, _, minima, _ = near_dedup._print_block([t.encode() for t in texts])
     units = spark.createDataFrame([(i, [int(x) for x in m]) for i, m in enumerate(minima)], "uid long, minima array<long>")
     own = near_dedup.buckets(units, units.select("uid", F.lit(0).cast("long").alias("root")))
     rows = spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "uid long, bytes binary")
@@ -158,6 +158,22 @@ def test_near_dedup_compares_all_variants_that_share_a_bucket(spark, n, most):
     assert kept == jaccard_groups(dict(enumerate(texts))) and 1 < len(kept) < n
 
 
+def test_near_dedup_candidates_hold_short_and_hard_pairs():
+    """Pairs at 0.8 or more, most of them short or near 0.8, share a band."""
+    rng, found, of = random.Random(5), 0, 0
+    for words in (20, 30, 45, 60, 150, 400):
+        for _ in range(150):
+            a, b = variants(1, words, (0,), rng.random())[0].split(), None
+            b = list(a)
+            for i in rng.sample(range(words), max(1, round(words * rng.choice((0.01, 0.015, 0.02))))):
+                b[i] = "y"
+            pair = [" ".join(a), " ".join(b)]
+            if len(jaccard_groups(dict(enumerate(pair)))) == 1:
+                bands = near_dedup._print_block([t.encode() for t in pair])[4]
+                found, of = found + bool((bands[0] == bands[1]).any()), of + 1
+    assert of > 300 and found >= 0.998 * of
+
+
 def waterfill(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
