@@ -307,11 +307,16 @@ def structured_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def mention_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Optimal alignment of part names with misspelt ones, by supplier nation; fuzzy similarity has no SQL."""
-    part = P.read(spark, sf_dir, "part").join(P.read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct(), F.col("p_partkey") == F.col("l_partkey"))
-    key = F.col("l_suppkey").cast("string")
-    first = part.groupBy(key.alias("item_id")).agg(F.slice(F.array_sort(F.collect_set(F.struct("p_partkey", "p_name"))), 1, 12).alias("parts"))
+    """Optimal alignment of part names with misspelt ones, by order: every line of an order is a mention. Fuzzy similarity has no SQL."""
+    return A.align(*_part_mentions(P.read(spark, sf_dir, "part"), P.read(spark, sf_dir, "lineitem"))).groupBy("item_id", "bucket", "tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _part_mentions(parts: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Gold and predicted mentions of the parts of all lines."""
+    part = parts.join(lines.select("l_orderkey", "l_linenumber", "l_partkey"), F.col("p_partkey") == F.col("l_partkey"))
+    key = F.col("l_orderkey").cast("string")
+    first = part.groupBy(key.alias("item_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "p_partkey", "p_name"))).alias("parts"))
     kind = lambda x: P._pick(("product", "book"), x["p_partkey"] % 2)
     gold = first.select("item_id", F.transform("parts", lambda x: F.struct(x["p_name"].alias("surface"), F.array().cast("array<string>").alias("aliases"), kind(x).alias("type"), F.lit(None).cast("string").alias("nil"), F.struct(F.lit("kb").alias("authority"), x["p_partkey"].cast("string").alias("id")).alias("gold_id"))).alias("mentions"))
     pred = first.select("item_id", F.transform(F.filter("parts", lambda x: x["p_partkey"] % 4 != 0), lambda x: F.struct(F.when(x["p_partkey"] % 3 == 0, F.concat(x["p_name"], F.lit("s"))).otherwise(x["p_name"]).alias("surface"), kind(x).alias("type"), F.struct(F.lit("kb").alias("authority"), x["p_partkey"].cast("string").alias("externalId"), F.lit(False).alias("nil"), F.lit(0.9).alias("grounding_confidence")).alias("grounding"))).alias("mentions"))
-    return A.align(gold, pred).groupBy("item_id", "bucket", "tier").agg(F.count(F.lit(1)).alias("n"))
+    return gold, pred

@@ -161,3 +161,31 @@ def test_slots_are_reusable_and_documents_are_not(spark):
     pred = spark.createDataFrame([("i", doc([("time", "10 min"), ("TIME", "ten")]))], kind)
     r = structured.structured_scores(gold, pred).first()
     assert r["field_accuracy"] == pytest.approx(2 / 3) and r["document_accuracy"] == 0.5 and r["n_docs"] == 2
+
+
+def test_mention_alignment_takes_all_lines_of_a_supplier(spark, tmp_path):
+    """Forty lines of one supplier in eight orders, against every assignment of each order."""
+    import random
+    from collections import Counter
+    from itertools import permutations
+
+    from tessera.functions import text
+    from tessera.plans.measurement import mention_alignment
+
+    rng = random.Random(2)
+    names = {k: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(3)) for k in range(1, 41)}
+    order = {k: k % 8 for k in names}
+    spark.createDataFrame(list(names.items()), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(o, k, k, 1) for k, o in order.items()], "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    want = Counter()
+    for o in range(8):
+        gold = [names[k] for k in names if order[k] == o]
+        pred = [names[k] + "s" * (k % 3 == 0) for k in names if order[k] == o and k % 4]
+        score = lambda g, p: 101 if g == p else s if (s := text.token_set_ratio(p, g)) >= 90 else 0
+        best = max(permutations(gold, len(pred)), key=lambda gs: sum(map(score, gs, pred)))
+        tiers = ["exact" if g == p else "fuzzy" for g, p in zip(best, pred, strict=True) if score(g, p)]
+        want.update((str(o), "pair", t) for t in tiers)
+        want[str(o), "missed", "none"] += len(gold) - len(tiers)
+        want[str(o), "spurious", "none"] += len(pred) - len(tiers)
+    got = {(r["item_id"], r["bucket"], r["tier"]): r["n"] for r in mention_alignment(spark, str(tmp_path)).collect()}
+    assert got == +want and sum(n for (_, b, _), n in got.items() if b != "spurious") == 40
