@@ -161,6 +161,7 @@ _PARTS = f"i AS (SELECT item_id, {_PHI} FROM al GROUP BY item_id), parts AS (SEL
 @query(f"""WITH {P.LINKS}, {_PARTS}, {_DRAWS.replace('{B}', '50')} st AS (SELECT b, {_ratio('sum(top)', 'sum(den)')} AS s FROM dr JOIN num USING (slot) GROUP BY b)
 SELECT round((SELECT {_ratio('sum(top)', 'sum(den)')} FROM parts), 9) AS point, round(quantile_cont(s, 0.025), 9) AS lo, round(quantile_cont(s, 0.975), 9) AS hi, (SELECT n FROM nn) AS n FROM st""")
 def cluster_bootstrap_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """50 resamples, as its SQL has, not the operator's 2000: lo and hi are rough."""
     return rounded(B.cluster_bootstrap(_phi_parts(spark, sf_dir), "item_id", ("top", "den"), X.ratio(F.col("top"), F.col("den")), b=50), "point", "lo", "hi")
 
 
@@ -171,6 +172,7 @@ _PAIRED = "parts AS (SELECT item_id, count(*) FILTER (WHERE correct)::DOUBLE AS
 SELECT round((SELECT sum(a) / sum(n0) - sum(c) / sum(n0) FROM parts), 9) AS delta, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi,
 round(least(1.0::DOUBLE, 2 * least((1 + count(*) FILTER (WHERE d <= 0)) / CAST(41 AS DOUBLE), (1 + count(*) FILTER (WHERE d >= 0)) / CAST(41 AS DOUBLE))), 9) AS p_value FROM st""")
 def paired_bootstrap_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """40 resamples, as its SQL has, not the operator's 2000: lo and hi are rough, and p_value is 2/41 at least."""
     parts = P.links(spark, sf_dir).groupBy("item_id").agg(F.count_if("correct").cast("double").alias("a"), F.count_if(F.col("correct") & (F.col("conf") >= 0.5)).cast("double").alias("c"), F.count(F.lit(1)).cast("double").alias("n0"))
     return rounded(B.paired_bootstrap(parts, "item_id", ("a", "c", "n0"), F.col("a") / F.col("n0"), F.col("c") / F.col("n0"), b=40), "delta", "lo", "hi", "p_value")
 
