@@ -5,18 +5,19 @@ fingerprint emits all words within r bits of it (its ball, 2081 words for r = 2)
 join them. Fingerprints that share a word are within 2r bits of each other, so a star to the smallest of them keeps
 every link without emitting pairs; each edge of it is verified by counting bits.
 
-Balls travel packed: a worker takes BLOCK fingerprints, multiplies their ball words by an odd constant (a bijection
-that spreads them), keeps the top 53 bits and puts the fingerprint's number in the block into the low 11. Sorted, those
-are cut at bucket boundaries: one binary row a block and bucket, 8 bytes a word. A bucket is bounded, as equal words
-come from at most 2081 distinct fingerprints, and the number of buckets follows the number of fingerprints. ROUNDS
-passes, each over its own share of the words, bound the disk. Within a bucket union-find leaves one edge a fingerprint;
-components over all buckets are found by alternating large-star and small-star steps on distributed tables.
+Balls travel packed, 8 bytes a word at any size: a word is multiplied by an odd constant (a bijection that spreads it);
+its leading bits, 12 at least, are its bucket, and the room they leave holds the number of the mask that made the word.
+So a row is a bucket and its words, and a fingerprint is had back as word XOR mask. A group of buckets is one task's
+work; it is bounded, as equal words come from at most 2081 distinct fingerprints, and the number of groups follows the
+number of fingerprints. ROUNDS passes, each over its own share of the words, bound the disk. Within a group union-find
+leaves one edge a fingerprint; components over all groups are found by alternating large-star and small-star steps on
+distributed tables.
 
 Copies collapse into one fingerprint before any of this, so a hot group costs one ball.
 
-Cases: null and wordless texts have fingerprint 0, linked like any other; repeated rows share a fingerprint; a null
-doc_id is not a smallest id unless its component has no other (then component_id is null); an empty table gives an
-empty result; extra columns are ignored.
+Cases: null and wordless texts have fingerprint 0, linked like any other; very long texts are read whole, a block of
+texts at a time; repeated rows share a fingerprint; a null doc_id is not a smallest id unless its component has no other
+(then component_id is null); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,12 +34,14 @@ from pyspark.sql import functions as F
 from . import _shared as S
 
 SHINGLE, RADIUS, SEED = 4, 2, 42
-ROUNDS, BUCKET_BYTES, BLOCK, MASKS = 8, 16 << 20, 2048, 128
-#: Fingerprints to a task that emits balls.
-TASK_PRINTS = 16 * BLOCK
+#: Bits of a mask's number; passes; bytes to a group of buckets; masks at once; fingerprints to a block, least and most.
+MASK_BITS, ROUNDS, GROUP_BYTES, MASKS, BLOCK, MOST_BLOCK = 12, 8, 16 << 20, 128, 2048, 1 << 16
+#: Words to a shuffled row that a block aims at, bytes to a task that links, and tasks a pass has at least if it has the groups.
+ROW_WORDS, TASK_BYTES, MOST_SPREAD = 64, 32 << 20, 32
 _ODD = 0x9E3779B97F4A7C15
+_INVERSE = pow(_ODD, -1, 2**64)
 _LANES = np.uint64(0x0101010101010101)
-_LOW = np.uint64(BLOCK - 1)
+_MASK = np.uint64((1 << MASK_BITS) - 1)
 
 
 def majority(h: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -93,30 +96,48 @@ def ball(radius: int) -> np.ndarray:
     return np.array([sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)], dtype=np.uint64)
 
 
-def _emitter(radius: int, buckets: int, lo: int, hi: int):
-    """Packed balls, of buckets lo to hi - 1 only; buckets is a power of two."""
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+def packed_words(prints: np.ndarray, masks: np.ndarray, depth: int, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, ends): ball words of buckets lo to hi - 1 in bucket order, and where each of these buckets ends.
+
+    A word is multiplied by an odd constant, a bijection that spreads it; its leading `depth` bits are the bucket, the
+    others and the number of its mask are kept. So word and fingerprint can be had back from 8 bytes and the bucket.
+    """
+    shift, parts, buckets = np.uint64(64 - depth), [], []
+    for m in range(0, len(masks), MASKS):  # a few masks at once: what other rounds take goes before it adds up
+        own = masks[m : m + MASKS]
+        w = (prints[:, None] ^ own[None, :]).ravel()
+        w *= np.uint64(_ODD)
+        of = w >> shift
+        of -= np.uint64(lo)
+        at = np.flatnonzero(of < np.uint64(hi - lo))
+        buckets.append(of[at].astype(np.uint16 if hi - lo <= 1 << 16 else np.uint32))
+        w = w[at]
+        w <<= np.uint64(depth)
+        w >>= np.uint64(depth - MASK_BITS)
+        w |= (at % len(own) + m).astype(np.uint64)
+        parts.append(w)
+    bucket, words = np.concatenate(buckets), np.concatenate(parts)
+    return words[np.argsort(bucket, kind="stable")], np.cumsum(np.bincount(bucket, minlength=hi - lo))
+
+
+def unpacked(bucket: int, packed: np.ndarray, depth: int) -> np.ndarray:
+    """The multiplied ball words."""
+    return (packed >> np.uint64(MASK_BITS)) | np.uint64(bucket << (64 - depth))
+
+
+def _emitter(radius: int, depth: int, lo: int, hi: int, group_bits: int, block: int):
+    """Rows (group, bucket, words) of packed balls, of buckets lo to hi - 1 only; a group is a run of buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         masks = ball(radius)
         for batch in batches:
             fps = np.asarray(batch.column(0)).view(np.uint64)
-            for at in range(0, len(fps), BLOCK):
-                block = np.ascontiguousarray(fps[at : at + BLOCK])
-                numbers, parts = np.arange(len(block), dtype=np.uint64)[:, None], []
-                for m in range(0, len(masks), MASKS):  # a few masks at once: what other rounds take goes before it adds up
-                    w = block[:, None] ^ masks[None, m : m + MASKS]
-                    w *= np.uint64(_ODD)
-                    w &= ~_LOW
-                    w |= numbers
-                    of = w >> shift
-                    parts.append(w[(of >= np.uint64(lo)) & (of < np.uint64(hi))])
-                words = np.concatenate(parts)
-                words.sort()
-                ends = np.append(np.searchsorted(words, np.arange(lo, hi, dtype=np.uint64) << shift), len(words)).tolist()
-                packed = [(k, words[a:b].tobytes()) for k, a, b in zip(range(lo, hi), ends[:-1], ends[1:], strict=True) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in packed], pa.int32()), pa.array([block.tobytes()] * len(packed), pa.binary()), pa.array([w for _, w in packed], pa.binary())], names=["bucket", "block", "words"])
-                del words, parts, packed
+            for at in range(0, len(fps), block):
+                words, ends = packed_words(fps[at : at + block], masks, depth, lo, hi)
+                some = np.flatnonzero(np.diff(ends, prepend=0))
+                offsets = np.r_[0, ends[some]].astype(np.int32) * 8
+                binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
+                yield pa.RecordBatch.from_arrays([pa.array((some + lo) >> group_bits), pa.array(some + lo), binary], names=["grp", "bucket", "words"])
         pa.default_memory_pool().release_unused()
 
     return run
@@ -145,63 +166,64 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
-def collisions(blocks: list[np.ndarray], packed: list[np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified edges (to the smallest fingerprint) among those that share a ball word."""
-    words = np.concatenate(packed)
-    ordered = words & ~_LOW
-    ordered.sort()
+def collisions(words: np.ndarray, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (to the smallest fingerprint) among those that share a ball word; masks has the mask of each word."""
+    ordered = np.sort(words)
     shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
     del ordered
     if not len(shared):
         return np.empty(0, np.uint64), np.empty(0, np.uint64)
-    # a bitmap of the shared words' bits 11 to 34 leaves few of the others; the sorted list then decides
+    # a bitmap of 24 of the shared words' bits leaves few of the others; the sorted list then decides
     marks = np.zeros(1 << 24, dtype=bool)
     marks[((shared >> np.uint64(11)) & np.uint64(0xFFFFFF)).astype(np.int64)] = True
     keep = np.concatenate([at + np.flatnonzero(marks[((words[at : at + (1 << 18)] >> np.uint64(11)) & np.uint64(0xFFFFFF)).astype(np.int64)]) for at in range(0, len(words), 1 << 18)])
-    tops = words[keep] & ~_LOW
-    group = np.searchsorted(shared, tops)
-    exact = (group < len(shared)) & (shared[np.minimum(group, len(shared) - 1)] == tops)
+    group = np.minimum(np.searchsorted(shared, words[keep]), len(shared) - 1)
+    exact = shared[group] == words[keep]
     keep, group = keep[exact], group[exact]
-    part = np.searchsorted(np.cumsum([len(w) for w in packed]), keep, "right")
-    start = np.cumsum([0, *(len(b) for b in blocks)])
-    fp = np.concatenate(blocks)[start[part] + (words[keep] & _LOW).astype(np.int64)]
+    fp = (words[keep] * np.uint64(_INVERSE)) ^ masks[keep]
     order = np.lexsort((fp, group))
     group, fp = group[order], fp[order]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     least = np.repeat(fp[first], np.diff(np.r_[first, len(fp)]))
-    true = bits_apart(fp, least) <= 2 * radius
-    a, b = [fp[true]], [least[true]]
-    for g in np.unique(group[~true]).tolist():  # equal in 53 bits only: a few in 2**53 words; compare the group out
-        own = fp[np.searchsorted(group, g) : np.searchsorted(group, g, "right")]
-        for x in own:
-            near = own[bits_apart(own, x) <= 2 * radius]
-            a.append(near)
-            b.append(np.full(len(near), x))
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
-
-
-def _linker(radius: int):
+    other = fp != least
+    return fp[other], least[other]
+
+
+def _linker(radius: int, depth: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        blocks, packed = ([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column(c)] for c in ("block", "words"))
-        a, b = collisions(blocks, packed, radius)
-        a, b = forest(a, b) if len(a) else (a, b)
+        masks = ball(radius)
+        packed = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("words")]
+        words = np.concatenate([unpacked(b, p, depth) for b, p in zip(table.column("bucket").to_pylist(), packed, strict=True)])
+        a, b = collisions(words, masks[(np.concatenate(packed) & _MASK).astype(np.int64)])
+        near = bits_apart(a, b) <= 2 * radius  # always, by construction
+        a, b = forest(a[near], b[near]) if len(a) else (a, b)
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
 
 
+def plan(n: int, radius: int = RADIUS, rounds: int = ROUNDS) -> tuple[int, int, int]:
+    """(depth, group_bits, block) for n fingerprints: 2 ** depth buckets, 2 ** group_bits of them to a task's group, and
+    fingerprints to an emitted block, so many that its rows have ROW_WORDS words at least (up to MOST_BLOCK)."""
+    words = n * len(ball(radius))
+    depth = max(MASK_BITS, (words * 8 // GROUP_BYTES).bit_length())
+    groups = max(rounds, -(-words * 8 // GROUP_BYTES))
+    group_bits = max(0, depth - (groups - 1).bit_length())
+    return depth, group_bits, int(min(MOST_BLOCK, max(BLOCK, ROW_WORDS * 2**depth // len(ball(radius)))))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
-    """Edges (a, b) that connect what is linked among the distinct fingerprints fps (fp): within a bucket one each."""
+    """Edges (a, b) that connect what is linked among the distinct fingerprints fps (fp): within a group one each."""
     spark = fps.sparkSession
     n = S.count_by_partition(fps)
-    words = n * len(ball(radius))
-    buckets = 1 << max(rounds, -(-words * 8 // BUCKET_BYTES), 1).bit_length()
-    out, spread = None, fps.select("fp").repartition(-(-n // TASK_PRINTS) or 1)
+    depth, group_bits, block = plan(n, radius, rounds)
+    groups = 1 << (depth - group_bits)
+    out, spread = None, fps.select("fp").repartition(-(-n // (16 * block)) or 1)
     for r in range(rounds):
-        lo, hi = buckets * r // rounds, buckets * (r + 1) // rounds
-        packed = spread.mapInArrow(_emitter(radius, buckets, lo, hi), "bucket int, block binary, words binary")
-        part = S.cut(packed.repartition(2 * (hi - lo), "bucket").groupBy("bucket").applyInArrow(_linker(radius), "a long, b long"), "links")
+        lo, hi = (groups * k // rounds << group_bits for k in (r, r + 1))
+        packed = spread.mapInArrow(_emitter(radius, depth, lo, hi, group_bits, block), "grp long, bucket long, words binary")
+        tasks = max(2 * min(MOST_SPREAD, (hi - lo) >> group_bits), n * len(ball(radius)) * 8 // rounds // TASK_BYTES)
+        part = S.cut(packed.repartition(tasks, "grp").groupBy("grp").applyInArrow(_linker(radius, depth), "a long, b long"), "links")
         out = part if out is None else out.unionByName(part)
         S.free_shuffles(spark)
     return out
@@ -234,7 +256,9 @@ def components(edges: DataFrame) -> DataFrame:
 def cluster(prints: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, fp and component_id for every row of prints (doc_id, fp)."""
     nodes = S.cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "nodes")
-    root = components(links(nodes, radius, rounds))
+    edges = links(nodes, radius, rounds)
+    root = components(edges)
+    S.discard(edges)
     rooted = nodes.join(root, nodes["fp"] == root["a"], "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
     rooted = S.cut(rooted, "rooted")
     ids = S.cut(rooted.groupBy("root").agg(F.min("least_id").alias("component_id")), "ids")
