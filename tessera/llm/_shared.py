@@ -66,6 +66,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def as_rows(docs: DataFrame, **columns: Column) -> DataFrame:
+    """docs folded into one column `row`, and further columns beside it: whatever docs' columns are called, none can
+    clash with a name of an operator's own. `select("row.*")` gives them back."""
+    return docs.select(F.struct("*").alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text column as UTF-8 bytes, null as empty, under a name of its own."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
