@@ -36,6 +36,46 @@ def test_exact_dedup_edges(spark):
     assert exact_dedup.deduplicate(frame(spark, EDGE)).where("doc_id = 6").count() == 1
 
 
+REPEATED = [(5, "one two three four five six"), (2, "one two three four five six"), (5, "another text of its own words"), (None, "lonely words of a row without an id"), (None, "lonely words of a row without an id"), (None, "yet other words, no id either"), (7, "same"), (7, "same"), (7, "sa me"), (7, None)]
+CLASHES = ("id", "k", "row", "uid", "h", "d", "line", "rank", "first", "range", "before", "row_hash", "bytes_before", "rows_before", "k2", "drops", "mix_id", "mix_source", "mix_hash", "mix_copy", "key_id", "key_k", "sha", "order", "drop_id", "again_id", "bucket", "norm", "n")
+
+
+def clashing(spark, rows, schema="doc_id long, text string"):
+    """Rows with a source, a column for every name an operator might use, and a map."""
+    df = spark.createDataFrame(rows, schema).withColumn("source", F.lit("s"))
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES} | {"facts": F.create_map(F.lit("a"), F.lit(1))})
+
+
+def owned(df):
+    """The rows' ids and texts, once their extra columns are found to be as they were."""
+    rows = df.collect()
+    assert all(r[c] == f"own {c}" for r in rows for c in CLASHES) and all(r["facts"] == {"a": 1} for r in rows)
+    return sorted(((r["doc_id"], r["text"]) for r in rows), key=str)
+
+
+def test_dedup_keeps_other_texts_of_an_id_and_all_columns(spark):
+    df = clashing(spark, REPEATED)
+    out = exact_dedup.deduplicate(df)
+    assert out.columns == df.columns
+    assert owned(out) == sorted([(2, REPEATED[0][1]), (5, REPEATED[2][1]), (None, REPEATED[3][1]), (None, REPEATED[5][1]), (7, "sa me"), (7, None)], key=str)
+    out = near_dedup.keep_one(df)
+    assert out.columns == df.columns
+    assert owned(out) == sorted([(2, REPEATED[0][1]), (5, REPEATED[2][1]), (None, REPEATED[3][1]), (None, REPEATED[5][1]), (7, "same"), (7, "sa me"), (7, None)], key=str)
+    assert exact_dedup.deduplicate(clashing(spark, [])).count() == 0
+
+
+def test_exact_dedup_chains_colliding_hashes(spark, documents):
+    """A hash of 11 values, spread over the leading bits: every chain holds many texts, told apart by their bytes."""
+    few = lambda c: F.pmod(F.xxhash64(c), F.lit(11)) * F.lit(0x1234567890ABCDE)
+    plain, chained = (sorted(map(str, exact_dedup.assign(documents, 3, h).collect())) for h in (F.xxhash64, few))
+    assert plain == chained
+
+
+def test_exact_dedup_is_decided_by_the_pages(spark, documents, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "owners", lambda chained, buckets, own=exact_dedup.owners: own(chained, buckets).limit(0))
+    assert exact_dedup.assign(documents).where("not kept").count() == 0
+
+
 def test_exact_dedup_matches_sql_with_a_deep_directory(spark, documents):
     c = duckdb.connect()
     c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
@@ -89,6 +129,22 @@ def test_ball_hashing_links_all_within_four_bits_and_none_beyond(spark):
     assert got == brute_components(prints)
 
 
+@pytest.mark.parametrize("n", [300, 10_000, 1_000_000, 10_000_000, 1_000_000_000])
+def test_ball_words_take_eight_bytes_at_any_size(n):
+    """Words packed for n fingerprints hold their fingerprints; what a row has besides is less than a byte a word."""
+    depth, group_bits, block = simhash.plan(n)
+    prints = np.random.default_rng(n).integers(0, 2**64, 256, dtype=np.uint64)
+    masks, lo = simhash.ball(2), (1 << depth) // 8 * 3
+    words, ends = simhash.packed_words(prints, masks, depth, lo, lo + (1 << depth) // 8)
+    starts = np.r_[0, ends[:-1]]
+    for k in np.flatnonzero(ends - starts)[:50].tolist():
+        packed = words[starts[k] : ends[k]]
+        back = (simhash.unpacked(lo + k, packed, depth) * np.uint64(simhash._INVERSE)) ^ masks[(packed & simhash._MASK).astype(int)]
+        assert np.isin(back, prints).all()
+    assert words.nbytes == 8 * len(words) and abs(len(words) / (256 * 2081 / 8) - 1) < 0.02
+    assert 48 / (block * 2081 / 2**depth) < 0.8 and 2 ** (depth - group_bits) * simhash.GROUP_BYTES >= 0.5 * n * 2081 * 8
+
+
 def test_simhash_edges(spark):
     prints = simhash.fingerprints(frame(spark, EDGE))
     out = simhash.cluster(prints).collect()
@@ -122,12 +178,11 @@ def test_near_copies_leave_one_of_each_group(spark, documents):
     assert kept == jaccard_groups(dict(documents.select("doc_id", "text").collect()))
 
 
-def test_near_dedup_edges_keep_columns_and_null_ids(spark):
+def test_near_dedup_edges_keep_columns(spark):
     df = frame(spark, EDGE)
     out = near_dedup.keep_one(df)
     assert out.columns == df.columns
-    ids = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
-    assert ids == [(False, 1), (False, 4), (False, 5), (False, 6), (False, 7), (False, 8), (True, 0)]
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 4, 5, 6, 7, 8]
     assert near_dedup.keep_one(frame(spark, [])).count() == 0
 
 
