@@ -6,9 +6,11 @@ shards; ranges that come out overfull are subdivided by splitters of a denser sa
 then summed in order (one row a range), a window within each range places every record on the line of all bytes, and
 the shard is the fortieth of that line in which the record's middle lies: shards differ by about one record.
 
-Law: `bytes`. Cases: null text has no bytes (size 16) and crc32 0; equal keys are repeated rows, whose order among
-themselves does not matter; a null doc_id sorts first; an empty table gives an empty result; extra columns are kept by
-`shard` unless they clash with its own, which win.
+Law: `bytes`. Ranges that stay overfull are single keys (repeated rows), or all there may be (MOST_RANGES); they cost
+time, not evenness. Cases: null text has no bytes (size 16) and crc32 0; a very long text is one record, its shard larger
+by at most its size; of equal keys the hash of the whole row decides, and rows that agree in it too may change places;
+a null doc_id sorts first; an empty table gives an empty result; extra columns of any name and type are kept by `shard`,
+but for `size`, `shard` and `slot`, which it gives itself.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import _shared as S
 
@@ -80,62 +83,66 @@ def splitters(keys: DataFrame, rows: int, total: int, shards: int) -> list[tuple
     ranges = min(MOST_RANGES, max(shards * LEAST_RANGES, -(-rows // RANGE_ROWS), -(-total // RANGE_BYTES)))
     share = total / ranges
     bounds = sorted(_quantiles(*_sample(keys, F.lit(min(ranges * SAMPLED, MOST_SAMPLED) / max(total, 1))), ranges))
-    for _ in range(4):
+    while len(bounds) < MOST_RANGES:
         placed = keys.withColumn("range", _assigner(spark, bounds)("h", "d"))
-        over = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("size").alias("most")).where(F.col("bytes") > OVERFULL * share + F.col("most")).collect()  # at most one row a range
-        if not over or len(bounds) >= MOST_RANGES:
+        over = placed.groupBy("range").agg(F.sum("size").alias("bytes"), F.max("size").alias("most"), F.min(F.struct("h", "d")).alias("lo"), F.max(F.struct("h", "d")).alias("hi"))
+        over = over.where((F.col("bytes") > OVERFULL * share + F.col("most")) & (F.col("lo") != F.col("hi"))).collect()  # at most one row a range
+        if not over:
             break
         pieces = {r["range"]: 2 * -(-r["bytes"] // int(share + 1)) for r in over}
         dense = min(4 * SAMPLED / share, MOST_SAMPLED / sum(r["bytes"] for r in over))
         h, d, w = _sample(placed.where(F.col("range").isin(list(pieces))), F.lit(dense))
         of = _range_of(h, d, *(np.array([b[i] for b in bounds], dtype=np.int64) for i in (0, 1)))
         more = set().union(*(_quantiles(h[of == k], d[of == k], w[of == k], n) for k, n in pieces.items()))
-        if more <= set(bounds):
-            break
-        bounds = sorted(more | set(bounds))
+        # a range is also cut after its first key and before its last, so every pass gains and a heavy key soon stands alone
+        ends = {(r["hi"]["h"], r["hi"]["d"]) for r in over} | {(r["lo"]["h"], r["lo"]["d"] + 1) for r in over if r["lo"]["d"] < 2**63 - 1}
+        bounds = sorted(set(bounds) | more | ends)
     return bounds
 
 
-def with_keys(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"h": F.xxhash64(text), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")), "size": size_of()})
+def _keyed(docs: DataFrame) -> dict[str, Column]:
+    return {"h": F.xxhash64(F.coalesce(docs["text"], F.lit(""))), "d": F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)).cast("long")), "size": size_of()}
 
 
-OWN = ("size", "shard", "slot", "range", "h", "d", "row_hash", "before", "line", "rank", "bytes_before", "rows_before", "first")
+def _row_hash(columns: list[T.StructField]) -> Column:
+    """A hash of all the row; what cannot be hashed itself (maps, variants) is hashed as JSON."""
+    plain = [F.col("row")[c.name] for c in columns if "map<" not in c.dataType.simpleString() and "variant" not in c.dataType.simpleString()]
+    rest = [F.to_json(F.struct(F.col("row")[c.name])) for c in columns if "map<" in c.dataType.simpleString() or "variant" in c.dataType.simpleString()]
+    return F.xxhash64(*plain, *rest)
 
 
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with size, shard and slot; slots run from 0 without gaps in every shard."""
-    return shard_keyed(with_keys(docs.drop(*OWN)), shards)
+    return place(S.as_rows(docs.drop("size", "shard", "slot"), **_keyed(docs)), shards).select("row.*", "size", "shard", "slot")
 
 
-def shard_keyed(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """The same for rows that have h, d and size already, in place of a text."""
-    spark = docs.sparkSession
-    keys = S.cut(docs.select("h", "d", "size"), "keys")
+def place(records: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """row, size, shard and slot of records (row, h, d, size)."""
+    spark = records.sparkSession
+    keys = S.cut(records.select("h", "d", "size"), "keys")
     rows, total = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
     assign = _assigner(spark, splitters(keys, rows, total, shards))
     # one row a range, at most MOST_RANGES
     by = keys.withColumn("range", assign("h", "d")).groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    by = by.select("range", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"))
+    by = S.cut(by.select("range", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before")), "ranges")
     order = Window.partitionBy("range").orderBy("h", "d", "row_hash")
-    others = [c for c in docs.columns if c not in ("h", "d", "size")]
-    placed = docs.withColumns({"range": assign("h", "d"), "row_hash": F.xxhash64(*others)}).withColumns({"before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"), "rank": F.row_number().over(order) - 1})
-    placed = placed.join(F.broadcast(by) if rows // RANGE_ROWS < 100_000 else by, "range")
+    placed = records.withColumns({"range": assign("h", "d"), "row_hash": _row_hash(records.schema["row"].dataType.fields)})
+    placed = placed.withColumns({"before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"), "rank": F.row_number().over(order) - 1})
+    placed = placed.join(F.broadcast(by), "range")
     middle = F.col("bytes_before") + F.col("before") + F.col("size") / 2
-    placed = placed.withColumn("shard", F.least(F.lit(shards - 1), F.floor(middle * shards / max(total, 1))).cast("int")).withColumn("line", F.col("rows_before") + F.col("rank"))
-    placed = S.cut(placed, "placed")
+    shard_ = F.least(F.lit(shards - 1), F.floor(middle * shards / max(total, 1))).cast("int")
+    placed = S.cut(placed.select("row", "size", shard_.alias("shard"), (F.col("rows_before") + F.col("rank")).alias("line")), "placed")
+    S.discard(keys, by)
     first = placed.groupBy("shard").agg(F.min("line").alias("first"))  # one row a shard
-    out = placed.join(F.broadcast(first), "shard").withColumn("slot", (F.col("line") - F.col("first")).cast("long"))
-    return out.drop("h", "d", "range", "row_hash", "before", "rank", "bytes_before", "rows_before", "line", "first")
+    return placed.join(F.broadcast(first), "shard").select("row", "size", "shard", (F.col("line") - F.col("first")).cast("long").alias("slot"))
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = S.table(spark, sf_dir, "documents")
-    narrow = with_keys(docs).select("doc_id", "h", "d", "size", F.crc32(S.text_bytes()).cast("long").alias("text_crc32"))
-    out = shard_keyed(S.cut(narrow, "narrow"))
-    return out.select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    row = F.struct("doc_id", F.crc32(S.text_bytes()).cast("long").alias("text_crc32")).alias("row")
+    out = place(S.cut(docs.select(row, *[c.alias(k) for k, c in _keyed(docs).items()]), "narrow"))
+    return out.select("row.doc_id", "size", "row.text_crc32", F.lit(LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 QUERIES = {"op10_sharding": op10_sharding}
