@@ -77,6 +77,11 @@ def text_bytes(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
 
 
+def as_bytes(texts: pa.Array) -> pa.Array:
+    """An Arrow column of text as bytes, which need not be UTF-8; nothing is copied."""
+    return texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary())
+
+
 def id_text(column: str = "doc_id") -> Column:
     """The id as text, null as empty; what crc32 folds are taken from."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

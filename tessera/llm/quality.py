@@ -7,9 +7,9 @@ calibrates the scores. Everything else (statistics, scores) runs over all docume
 
 The fit uses at most MOST_LABELS labelled rows, the same ones every time. Labels, lang, source and doc_id are no inputs.
 
-Cases: null and empty texts have all statistics 0 and are scored like any other; without both labels in the sample the
-score is 0.5; repeated rows score alike; extra columns are kept by `keep_good` and ignored by `score`; an empty table
-gives an empty result.
+Cases: null and empty texts have all statistics 0 and are scored like any other; very long texts are read whole; ids with
+two different labels are not learnt from; without both labels in the sample the score is 0.5; repeated rows score alike;
+extra columns are kept by `keep_good` and ignored by `score`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -135,8 +135,8 @@ def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                texts = batch.column(column)
-                scores = np.concatenate([model.score([(x or "").encode() for x in texts.slice(at, 256).to_pylist()]) for at in range(0, len(texts), 256)])
+                texts = S.as_bytes(batch.column(column))
+                scores = np.concatenate([model.score([x or b"" for x in texts.slice(at, 256).to_pylist()]) for at in range(0, len(texts), 256)])
                 yield batch.filter(pa.array(scores >= accept))
 
     return S.small_batches(docs).mapInArrow(run, docs.schema)
