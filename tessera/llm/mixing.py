@@ -9,9 +9,12 @@ Documents are dealt to blocks within their source by a hash, so a hot source is
 one fractional document, and FAN_IN blocks meet in one task at the next level until a source has one left.
 Randomness is a hash of (seed, source, level, block, position), so reruns agree.
 
-Cases: null text and texts of white space only have size 0 and are taken 0 times; sources with no words have target 0;
-null is a source of its own, last in order; repeated rows are documents of their own; an empty table gives an empty
-result; extra columns are ignored.
+Targets are found over one row a source, in one task: a table of sources, which may be millions of web hosts.
+
+Cases: null text and texts of white space only have size 0 and are taken 0 times; very long texts are counted whole;
+sources with no words have target 0; null is a source of its own, last in order; repeated rows are documents of their
+own, dealt to blocks by a hash of id, size, text and their number among their like; an empty table gives an empty result;
+extra columns are ignored by `mix` and kept by `materialise`, whatever their names and types.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from . import _shared as S
 SHARE, CEILING, WEIGHTS, SEED = 1.5, 2.0, (5, 2, 1), 17
 #: Documents to a block at the first level, and blocks that meet in one task at each later level.
 BLOCK_ROWS, FAN_IN = 4096, 256
+#: Rows of one id and text that are numbered at once.
+LIKE = 4096
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -111,6 +116,17 @@ def _rounder(level: int, last: bool):
     return run
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """sized with `number`, from 0 among rows that agree in all their columns. Those stand for one another, so they are
+    counted and given out again, LIKE at a time; a row that occurs without end is given out by many tasks."""
+    like = S.cut(sized.groupBy("doc_id", "source", "size", "text_hash").agg(F.count(F.lit(1)).alias("like")), "like")
+    parts = like.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("like") - 1) / LIKE))))
+    if (like.agg(F.max("like")).first()[0] or 0) > LIKE:
+        parts = parts.repartition("doc_id", "text_hash", "part")
+    last = F.least(F.col("like"), (F.col("part") + 1) * LIKE) - 1
+    return parts.withColumn("number", F.explode(F.sequence(F.col("part") * LIKE, last))).drop("part", "like")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, ceiling: float = CEILING, block_rows: int = BLOCK_ROWS, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, source, size, source_size, target, text_hash and copies for every row of docs (doc_id, text, source)."""
     sized = S.cut(with_sizes(docs), "sizes")
@@ -118,14 +134,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     most = goals.agg(F.max("rows")).first()[0] or 0
     blocks = -(-most // block_rows)
     goal = goals.withColumnRenamed("source", "goal_source")
-    rows = sized.join(goal, sized["source"].eqNullSafe(goal["goal_source"]), "left")
+    rows = numbered(sized)
+    rows = rows.join(goal, rows["source"].eqNullSafe(goal["goal_source"]), "left")
     wish = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     base = F.when(F.col("size") > 0, F.floor(wish + 1e-12)).otherwise(F.lit(0)).cast("int")
     p = F.when(F.col("size") > 0, F.greatest(wish - base, F.lit(0.0))).otherwise(F.lit(0.0))
     in_source = F.greatest(F.lit(1), F.ceil(F.col("rows") / block_rows)).cast("long")
     rows = rows.select(
         "doc_id", "source", "text_hash", "size", "source_size", "target", base.alias("base"), p.alias("p"),
-        F.pmod(F.xxhash64("doc_id", "size"), in_source).alias("block"), F.lit(True).alias("open"),
+        F.pmod(F.xxhash64("doc_id", "size", "text_hash", "number"), in_source).alias("block"), F.lit(True).alias("open"),
     )
     done, level = [rows.where("p <= 0").withColumn("open", F.lit(False))], 0
     rows = rows.where("p > 0")
@@ -147,13 +164,13 @@ def materialise(docs: DataFrame) -> DataFrame:
 
     Rows that repeat id, source and text stand for one another: one of them carries the copies of all.
     """
-    key = ["mix_id", "mix_source", "mix_hash"]
-    total = mix(docs).groupBy(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("text_hash").alias("mix_hash"))
-    total = total.agg(F.sum("copies").alias("mix_copies"), F.count(F.lit(1)).alias("mix_rows")).where("mix_copies > 0")
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & docs["source"].eqNullSafe(F.col("mix_source")) & (text_hash() == F.col("mix_hash"))
-    taken = docs.join(total, same)
-    once = taken.where("mix_rows = 1").unionByName(taken.where("mix_rows > 1").dropDuplicates(key))
-    return once.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
+    total = mix(docs).groupBy(F.col("doc_id").alias("key_id"), F.col("source").alias("key_source"), F.col("text_hash").alias("key_hash"))
+    total = total.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).where("copies > 0")
+    held = S.as_rows(docs, id=F.col("doc_id").cast("long"), source=F.col("source"), hash=text_hash())
+    same = held["id"].eqNullSafe(total["key_id"]) & held["source"].eqNullSafe(total["key_source"]) & (held["hash"] == total["key_hash"])
+    taken = held.join(total, same)
+    once = taken.where("rows = 1").unionByName(taken.where("rows > 1").dropDuplicates(["key_id", "key_source", "key_hash"]))
+    return once.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
