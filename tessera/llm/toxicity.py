@@ -2,24 +2,27 @@
 
 A text is the set of its distinct words; a word's features are itself, its beginnings of 3 to 6 characters and its
 4-character pieces, hashed. Features that occur in at least LEAST labelled texts are ranked by how far their share of
-toxic texts departs from the whole, and the best FEATURES, at most two for three labelled texts, are kept. Logistic weights are fitted with an L2 penalty and
-with a counterfactual penalty: in every labelled text that names an identity group, each such term is swapped for the
-others of its class, and squared score changes are added to the loss. So a group's name carries little of the score,
-and neutral mentions are not flagged.
+toxic texts departs from the whole, and the best FEATURES, at most two for three labelled texts, are kept. Logistic
+weights are fitted with an L2 penalty and with a counterfactual penalty: in every labelled text that names an identity
+group, each such term is swapped for the others of its class, and the squared changes of the text's score are added to
+the loss. So a group's name carries little of the score, and neutral mentions are not flagged. Scores are calibrated on
+texts that four fits, each to three quarters of the sample and its swaps, have not seen; the weights are those of a fifth
+fit to all of it. That is the rule at every size.
 
 The fit uses at most MOST_LABELS labelled rows, the same ones every time, and FEATURES features. Labels, lang, source
 and doc_id are no inputs. All documents are scored whole, in place, without a shuffle; each worker remembers scores of
 words it has met in a table of bounded size.
 
-Cases: null and empty texts have no features and score the intercept; without both labels in the sample the score is
-0.5; repeated rows score alike; extra columns are ignored; an empty table gives an empty result.
+Cases: null and empty texts have no features and score the intercept; very long texts are read whole; ids with two
+different labels are not learnt from; without both labels in the sample the score is 0.5; repeated rows score alike;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +43,30 @@ IDENTITY_TERMS = {
     "orientation": ["gay", "lesbian", "bisexual", "straight", "homosexual", "heterosexual", "queer"],
     "ability": ["disabled", "deaf", "blind", "autistic"],
     "age": ["old", "young", "elderly", "teenage"],
+    "gender-de": ["frau", "frauen", "mann", "männer", "mädchen", "junge", "transgender"],
+    "religion-de": ["muslim", "muslime", "christ", "christen", "jude", "juden", "hindu", "buddhist", "atheist", "katholik", "protestant"],
+    "origin-de": ["schwarze", "weiße", "asiaten", "afrikaner", "amerikaner", "europäer", "araber", "türken", "ausländer", "flüchtlinge", "einwanderer"],
+    "orientation-de": ["schwul", "lesbisch", "bisexuell", "heterosexuell", "homosexuell"],
+    "gender-fr": ["femme", "femmes", "homme", "hommes", "fille", "garçon", "transgenre"],
+    "religion-fr": ["musulman", "musulmans", "chrétien", "chrétiens", "juif", "juifs", "hindou", "bouddhiste", "athée", "catholique", "protestant"],
+    "origin-fr": ["noirs", "blancs", "asiatiques", "africains", "américains", "européens", "arabes", "étrangers", "réfugiés", "immigrés"],
+    "orientation-fr": ["gay", "lesbienne", "bisexuel", "hétérosexuel", "homosexuel"],
+    "gender-es": ["mujer", "mujeres", "hombre", "hombres", "niña", "niño", "transgénero"],
+    "religion-es": ["musulmán", "musulmanes", "cristiano", "cristianos", "judío", "judíos", "hindú", "budista", "ateo", "católico", "protestante"],
+    "origin-es": ["negros", "blancos", "asiáticos", "africanos", "americanos", "europeos", "árabes", "extranjeros", "refugiados", "inmigrantes"],
+    "orientation-es": ["gay", "lesbiana", "bisexual", "heterosexual", "homosexual"],
 }
-_CLASS_OF = {t.encode(): (name, [x.encode() for x in terms if x != t]) for name, terms in IDENTITY_TERMS.items() for t in terms}
+
+
+def others_of(terms: dict[str, list[str]] = IDENTITY_TERMS) -> dict[bytes, list[bytes]]:
+    """The terms that may stand in for each term: those of all classes it is in."""
+    out: dict[bytes, list[bytes]] = {}
+    for own in terms.values():
+        for t in own:
+            known = out.setdefault(t.encode(), [])
+            known += [x.encode() for x in own if x != t and x.encode() not in known]
+    return out
+
 
 _SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -57,14 +82,28 @@ def features_of(word: bytes) -> list[int]:
     return [zlib.crc32(x.encode()) for x in out]
 
 
-def counterfactuals(words: set[bytes]) -> Iterator[tuple[bytes, bytes]]:
+def counterfactuals(words: set[bytes], others: dict[bytes, list[bytes]]) -> Iterator[tuple[bytes, bytes]]:
     """(term, other term of its class) for every identity term in the text."""
-    for w in words & _CLASS_OF.keys():
-        for other in _CLASS_OF[w][1]:
+    for w in sorted(words & others.keys()):
+        for other in others[w]:
             if other not in words:
                 yield w, other
 
 
+def swap_changes(words: set[bytes], of: Callable[[bytes], list[int]], others: dict[bytes, list[bytes]]) -> list[np.ndarray]:
+    """For each counterfactual of the text the features it gains (f + 1) and loses (-f - 1), of the text's whole set."""
+    if words.isdisjoint(others):
+        return []
+    count = Counter(f for w in words for f in of(w))
+    out = []
+    for a, b in counterfactuals(words, others):
+        new = set(of(b))
+        gained, lost = [f for f in new if f not in count], [f for f in of(a) if count[f] == 1 and f not in new]
+        if gained or lost:
+            out.append(np.array(sorted([*(f + 1 for f in gained), *(-f - 1 for f in lost)]), dtype=np.int32))
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many texts of each label have each feature, summed within the partition."""
     seen = (Counter(), Counter())
@@ -93,7 +132,7 @@ def _counts(seen: tuple[Counter, Counter]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen[y]), pa.int64()), n if y else zero, zero if y else n], names=["feature", "toxic", "clean"])
 
 
-def _encoder(index: dict[int, int]):
+def _encoder(index: dict[int, int], others: dict[bytes, list[bytes]]):
     """Kept features of each sampled text and its counterfactual changes, as packed numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,7 +151,7 @@ def _encoder(index: dict[int, int]):
             for text in texts:
                 words = distinct_words(text)
                 rows.append(np.array(sorted({i for w in words for i in of(w)}), dtype=np.int32).tobytes())
-                swaps.append([np.array([*(i + 1 for i in of(b)), *(-i - 1 for i in of(a))], dtype=np.int32).tobytes() for a, b in counterfactuals(words)])
+                swaps.append([v.tobytes() for v in swap_changes(words, of, others)])
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["y", "features", "swaps"])
 
     return run
@@ -169,7 +208,8 @@ def descend(x: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], size: i
     return w, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: int = MOST_LABELS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: int = MOST_LABELS, terms: dict[str, list[str]] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Model:
+    """The model; terms are the identity terms by class, counterfactual the weight of their penalty (0: none)."""
     sample = S.cut(L.labelled(docs, L.label_sample(labels, "toxic", mod, rest, most)), "sample")
     totals = {int(r["y"]): r["n"] for r in sample.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model({}, 0.0, (np.empty(0), np.empty(0)))
@@ -181,20 +221,23 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: i
     z = F.abs(F.col("toxic") - both * (n1 / n)) / F.sqrt(both * (n1 / n * (1 - n1 / n)) + 1)
     kept = [r["feature"] for r in seen.where(both >= LEAST).orderBy(z.desc(), "feature").limit(min(FEATURES, max(200, 2 * n // 3))).select("feature").collect()]
     index = {f: i for i, f in enumerate(kept)}
-    rows = sample.mapInArrow(_encoder(index), "y double, features binary, swaps array<binary>").toPandas()  # of at most `most` rows
+    rows = sample.mapInArrow(_encoder(index, others_of(terms)), "y double, features binary, swaps array<binary>").toPandas()  # of at most `most` rows
     rows = rows.sort_values(["y", "features"], kind="stable").reset_index(drop=True)  # the same order in every run
     x = [np.frombuffer(v, np.int32) for v in rows["features"]]
     y = rows["y"].to_numpy()
-    swaps = [np.frombuffer(v, np.int32) for own in rows["swaps"] for v in own if len(v)]
-    # scores for the calibration come from fits that have not seen their texts: four such fits, one if labels abound
-    fold, raw, used = np.arange(len(y)) % 4, np.zeros(len(y)), np.zeros(len(y), dtype=bool)
-    for k in range(4 if len(y) <= 6_000 else 1):
-        fitted, rest_ = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        w, bias = descend([x[i] for i in fitted], y[fitted], swaps, len(kept))
-        raw[rest_], used[rest_] = [bias + w[x[i]].sum() for i in rest_], True
-    if used.all():
-        w, bias = descend(x, y, swaps, len(kept))
-    return Model(dict(zip(kept, w.tolist(), strict=True)), bias, L.isotonic(raw[used], y[used]))
+    swaps = [[np.frombuffer(v, np.int32) for v in own] for own in rows["swaps"]]
+
+    def fitted(texts: np.ndarray) -> tuple[np.ndarray, float]:
+        return descend([x[i] for i in texts], y[texts], [v for i in texts for v in swaps[i]], len(kept), counterfactual=counterfactual)
+
+    fold, raw = np.arange(len(y)) % 4, np.zeros(len(y))
+    for k in range(4):
+        w, bias = fitted(np.flatnonzero(fold != k))
+        unseen = np.flatnonzero(fold == k)
+        raw[unseen] = [bias + w[x[i]].sum() for i in unseen]
+    w, bias = fitted(np.arange(len(y)))
+    S.discard(sample)
+    return Model(dict(zip(kept, w.tolist(), strict=True)), bias, L.isotonic(raw, y))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -84,7 +84,67 @@ def test_swapped_identity_terms_move_the_score_less():
     free, _ = toxicity.descend(x, np.array(y), swaps, 3, counterfactual=0.0)
     tied, _ = toxicity.descend(x, np.array(y), swaps, 3, counterfactual=10.0)
     assert abs(tied[1] - tied[2]) < 0.3 * abs(free[1] - free[2]) and tied[0] > 1
-    assert (b"women", b"men") in set(toxicity.counterfactuals({b"women", b"x"}))
+    assert (b"women", b"men") in set(toxicity.counterfactuals({b"women", b"x"}, toxicity.others_of()))
+
+
+def test_swaps_change_what_the_swapped_text_changes():
+    """Against the difference of whole feature sets, for texts in which other words share the term's features."""
+    others = toxicity.others_of()
+    for words in ({b"woman", b"women", b"x"}, {b"man", b"mankind", b"old"}, {b"muslim", b"muslims"}, {b"x"}, "männer mann".encode().split()):
+        words = set(words)
+        whole = lambda ws: {f for w in ws for f in toxicity.features_of(w)}
+        want = sorted(sorted([*(f + 1 for f in whole(words - {a} | {b}) - whole(words)), *(-f - 1 for f in whole(words) - whole(words - {a} | {b}))]) for a, b in toxicity.counterfactuals(words, others))
+        index = {f: i for i, f in enumerate(sorted(whole(words | {b for a in words for b in others.get(a, [])})))}
+        got = toxicity.swap_changes(words, lambda w: [index[f] for f in toxicity.features_of(w)], others)
+        back = {i: f for f, i in index.items()}
+        assert sorted(sorted(back[v - 1] + 1 if v > 0 else -back[-v - 1] - 1 for v in own.tolist()) for own in got) == want
+
+
+def test_the_penalty_spares_neutral_mentions(spark):
+    """Toxic texts name one group far more often; neutral texts of the held-out kind that name it are flagged less."""
+    rng = np.random.default_rng(7)
+    word = lambda: "".join(rng.choice(list("aeiouklmnrst"), 6))
+    slurs, plain = ["zzidiot", "zzscum", "zzvile", "zzliar"], [word() for _ in range(300)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic = i % 5 == 0
+        own = list(rng.choice(plain, 25))
+        own += list(rng.choice(slurs, rng.integers(0, 3))) if toxic else []
+        own += ["muslims"] if rng.random() < (0.8 if toxic else 0.04) else ["christians"] if rng.random() < 0.3 else []
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    mentions = [(10_000 + i, " ".join([*rng.choice(plain, 25), "muslims"])) for i in range(200)]
+    insults = [(20_000 + i, " ".join([*rng.choice(plain, 25), *rng.choice(slurs, 2)])) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    test = spark.createDataFrame(mentions + insults, "doc_id long, text string")
+    flagged = {}
+    for strength in (0.0, 20.0):
+        scored = toxicity.score(test, toxicity.fit(docs, labels, counterfactual=strength)).toPandas()
+        hit = scored["score"] >= toxicity.FLAG
+        flagged[strength] = hit[scored["doc_id"] < 20_000].mean(), hit[scored["doc_id"] >= 20_000].mean()
+    print(flagged)
+    assert flagged[20.0][0] < 0.5 * flagged[0.0][0] and flagged[20.0][1] > 0.9
+
+
+def test_one_rule_at_every_size(spark, monkeypatch):
+    """The same number of fits below and above any number of labelled rows; two fits give the same scores."""
+    calls, own = [], toxicity.descend
+    monkeypatch.setattr(toxicity, "descend", lambda x, *a, **b: calls.append(len(x)) or own(x, *a, **b | {"steps": 20}))
+    docs = spark.range(9000).selectExpr("id as doc_id", "concat('w', id % 97, ' v', id % 89, if(id % 3 = 0, ' bad', '')) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    models = []
+    for n in (400, 9000, 9000):
+        calls.clear()
+        models.append(toxicity.fit(docs.where(f"doc_id < {n}"), labels))
+        assert len(calls) == 5 and calls[-1] > max(calls[:4]) > 0.74 * calls[-1]
+    assert models[1].weights == models[2].weights and models[1].intercept == models[2].intercept
+
+
+def test_quality_refits_alike(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    one, two = quality.fit(docs, labels), quality.fit(docs.repartition(3), labels)
+    texts = [r["text"].encode() for r in docs.limit(200).collect()]
+    assert np.abs(one.score(texts) - two.score(texts)).max() < 1e-6
 
 
 def test_rejected_documents_go_and_columns_stay(spark):
