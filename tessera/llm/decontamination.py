@@ -3,23 +3,23 @@
 1. Every word n-gram of the test items is looked up in all documents; the counts say which are rare. Seeds of an item
    are its n-grams seen at most RARE times, and always at least its rarest SEED_SHARE, however common they are: an item
    that thousands of documents copy keeps its seeds.
-2. In a second pass a seed found in a document gives a diagonal (document place less item place); seeds on nearby
-   diagonals of an item are one candidate window. A window whose shared words cannot reach the score is passed over,
-   the others are aligned, and pairs that reach the threshold are returned.
-
-The items are a query set against all documents: they are broadcast in blocks of at most ITEM_WORDS words, one pass a
-block, so documents are never shuffled. Words are runs of ASCII letters and digits and all non-ASCII characters, A-Z
-lowered. A pair counts if its score is at least THRESHOLD of the item's own, or its alignment scores as much as PASSAGE
-matching words; items of fewer than SHORT words must be matched whole.
-
-Cases: null texts and items have no words and match nothing; items shorter than n words are one seed; of equal best
-alignments the first window counts; repeated rows each give their pairs; extra columns are kept by `decontaminate`; an
-empty table on either side gives no pairs.
+2. In a second pass a seed found in a document gives a diagonal (document place less item place). Diagonals of an item
+   that an alignment of enough score can join are one candidate window, as wide as such an alignment can drift. A window
+   whose shared words cannot reach the score is passed over, the others are aligned, and pairs that reach the threshold
+   are returned. So every alignment of enough score that holds a seed is found, however long its gaps.
+
+The items are a query set against all documents: they are broadcast in blocks of at most ITEM_WORDS words (some 40 bytes
+a word), two passes a block, so documents are never shuffled. Words are runs of ASCII letters and digits and all
+non-ASCII characters, A-Z lowered. A pair counts if its score is at least THRESHOLD of the item's own, or its alignment
+scores as much as PASSAGE matching words; items of fewer than SHORT words must be matched whole.
+
+Cases: null texts and items have no words and match nothing; very long texts are read whole; items shorter than n words
+are one seed; of equal best alignments the first window counts; repeated rows each give their pairs; extra columns are
+kept by `decontaminate`; an empty table on either side gives no pairs.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -33,8 +33,8 @@ from . import _shared as S
 N, RARE, SEED_SHARE = 3, 50, 0.75
 THRESHOLD, PASSAGE, SHORT = 0.5, 40, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Item words broadcast at once, and how far apart diagonals of one window may lie, in words.
-ITEM_WORDS, SLACK = 500_000, 12
+#: Item words broadcast at once.
+ITEM_WORDS = 4_000_000
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -44,54 +44,71 @@ def words(text: bytes) -> list[bytes]:
 
 
 class Items:
-    """A block of test items as word ids, with their n-grams."""
+    """A block of test items as word ids, with their n-grams: sorted codes, and for each the items and places it has."""
 
     def __init__(self, items: list[tuple[object, bytes]], n: int):
         self.n, self.names, self.vocabulary, self.words = n, [], {}, []
-        places = defaultdict(list)
         for name, text in items:
             ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words(text)], dtype=np.int64)
             if len(ids):
                 self.names.append(name)
                 self.words.append(ids)
-        for k, ids in enumerate(self.words):
-            for place, code in enumerate(self.codes(ids).tolist()):
-                places[code].append((k, place))
-        self.grams = np.array(sorted(places), dtype=np.int64)
-        self.places = [places[g] for g in self.grams.tolist()]
+        codes = [self.codes(ids)[0] if len(ids) >= n else self.short_code(ids) for ids in self.words]
+        of = np.repeat(np.arange(len(codes), dtype=np.int32), [len(c) for c in codes])
+        place = np.concatenate([np.arange(len(c), dtype=np.int32) for c in codes]) if codes else np.empty(0, np.int32)
+        codes = np.concatenate(codes) if codes else np.empty(0, np.int64)
+        order = np.argsort(codes, kind="stable")
+        self.grams, first = np.unique(codes[order], return_index=True)
+        self.first, self.item, self.place = np.append(first, len(codes)), of[order], place[order]
         self.short = {len(ids) for ids in self.words if len(ids) < n}
 
-    def codes(self, ids: np.ndarray, n: int | None = None) -> np.ndarray:
-        """One number for each n-gram, -1 if a word is unknown; a text shorter than n words is one gram."""
+    def codes(self, ids: np.ndarray, n: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """One number for each run of n words, and whether all of them are known. Numbers may wrap round: equal runs
+        have equal ones, and what is found by them is aligned word by word."""
         n = n or self.n
         base = len(self.vocabulary) + 2
-        if 0 < len(ids) < n:
-            ids = np.r_[ids, np.full(n - len(ids), base - 2)]
-        if len(ids) < n:
-            return np.empty(0, dtype=np.int64)
-        out, known = np.zeros(len(ids) - n + 1, dtype=np.int64), np.ones(len(ids) - n + 1, dtype=bool)
+        size = max(0, len(ids) - n + 1)
+        out, known = np.zeros(size, dtype=np.int64), np.ones(size, dtype=bool)
         for i in range(n):
-            part = ids[i : len(ids) - n + 1 + i]
-            out, known = out * base + part + 1, known & (part >= 0)
-        return np.where(known, out, -1)
+            part = ids[i : size + i]
+            out *= base
+            out += part + 1
+            known &= part >= 0
+        return out, known
+
+    def short_code(self, ids: np.ndarray) -> np.ndarray:
+        """The number of a text shorter than n words, which is one gram, filled up."""
+        return self.filled(self.codes(ids, len(ids))[0], len(ids))
+
+    def filled(self, codes: np.ndarray, n: int) -> np.ndarray:
+        base = len(self.vocabulary) + 2
+        for _ in range(self.n - n):
+            codes = codes * base + base - 1
+        return codes
 
     def encode(self, text: bytes) -> np.ndarray:
         w = words(text)
         return np.fromiter(map(self.vocabulary.get, w, repeat(-1)), np.int64, len(w))
 
-    def hits(self, ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ids at which grams begin, and the grams' numbers."""
+    def line_up(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All texts' words in one array, n unknown ones after each text, and where each text begins."""
+        parts, gap = [], np.full(self.n, -1)
+        for t in texts:
+            parts += (self.encode(t), gap)
+        ends = np.cumsum([len(x) for x in parts])[1::2] if parts else np.empty(0, np.int64)
+        return np.concatenate(parts) if parts else np.empty(0, np.int64), np.r_[0, ends].astype(np.int64)
+
+    def hits(self, ids: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ids at which grams (wanted ones) begin, and the grams' numbers."""
         found = []
-        base = len(self.vocabulary) + 2
         for n in sorted({self.n} | self.short):
-            codes = self.codes(ids, n)
-            if n < self.n:  # grams of short items are filled up
-                for _ in range(self.n - n):
-                    codes = np.where(codes >= 0, codes * base + base - 1, -1)
-            at = np.flatnonzero(codes >= 0)
-            i = np.searchsorted(self.grams, codes[at])
-            i = np.minimum(i, len(self.grams) - 1)
-            good = (self.grams[i] == codes[at]) & wanted[i]
+            codes, known = self.codes(ids, n)
+            at = np.flatnonzero(known)
+            own = self.filled(codes[at], n)
+            i = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
+            good = self.grams[i] == own
+            if wanted is not None:
+                good &= wanted[i]
             found.append((at[good], i[good]))
         return np.concatenate([a for a, _ in found]), np.concatenate([i for _, i in found])
 
@@ -124,27 +141,38 @@ def needed(length: int, threshold: float = THRESHOLD) -> float:
     return MATCH * length if length < SHORT else min(threshold * MATCH * length, MATCH * PASSAGE)
 
 
-def pairs_of(items: Items, wanted: np.ndarray, ids: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, int, int]]:
-    """(item number, score, start, end) for each item that the document copies; start and end in words."""
+def drift(length: int, threshold: float = THRESHOLD) -> int:
+    """How far an alignment that reaches the score can leave its diagonal: all it may lose, in gaps."""
+    return max(0, int((MATCH * length - needed(length, threshold)) // -GAP))
+
+
+def pairs_of(items: Items, wanted: np.ndarray, texts: list[bytes], threshold: float = THRESHOLD) -> list[list[tuple[int, int, int, int]]]:
+    """For each text (item number, score, start, end) of each item that it copies; start and end in words."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    ids, starts = items.line_up(texts)
     at, grams = items.hits(ids, wanted)
-    diagonals = defaultdict(list)
-    for place, g in zip(at.tolist(), grams.tolist(), strict=True):
-        for k, own in items.places[g]:
-            diagonals[k].append(place - own)
-    out = []
-    for k, ds in diagonals.items():
-        item, best = items.words[k], (0, 0, 0)
-        ds = np.unique(ds)
-        for group in np.split(ds, np.flatnonzero(np.diff(ds) > SLACK) + 1):
-            lo, hi = max(0, int(group[0]) - SLACK), min(len(ids), int(group[-1]) + len(item) + SLACK)
-            window = ids[lo:hi]
-            if MATCH * np.isin(window, item).sum() < needed(len(item), threshold):
+    if not len(at):
+        return out
+    many = items.first[grams + 1] - items.first[grams]  # (item, place) pairs of each hit's gram
+    entry = np.repeat(items.first[grams], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    at, item = np.repeat(at, many), items.item[entry].astype(np.int64)
+    text = np.searchsorted(starts, at, "right") - 1
+    diagonal = at - starts[text] - items.place[entry]
+    found = np.unique(np.stack([text, item, diagonal], axis=1), axis=0)
+    for own in np.split(found, np.flatnonzero(np.any(np.diff(found[:, :2], axis=0) != 0, axis=1)) + 1):
+        t, k, ds = own[0, 0], own[0, 1], own[:, 2]
+        words_, best, slack = items.words[k], (0, 0, 0), drift(len(items.words[k]), threshold)
+        least, size = needed(len(words_), threshold), starts[t + 1] - items.n - starts[t]
+        for group in np.split(ds, np.flatnonzero(np.diff(ds) > slack) + 1):
+            lo, hi = max(0, int(group[0]) - slack), min(int(size), int(group[-1]) + len(words_) + slack)
+            window = ids[starts[t] + lo : starts[t] + hi]
+            if MATCH * min(np.isin(window, words_).sum(), np.isin(words_, window).sum()) < least:
                 continue
-            score, a, b = align(window, item)
+            score, a, b = align(window, words_)
             if score > best[0]:
                 best = (score, lo + a, lo + b)
-        if best[0] >= needed(len(item), threshold):
-            out.append((k, *best))
+        if best[0] >= least:
+            out[t].append((int(k), *best))
     return out
 
 
@@ -163,30 +191,32 @@ def item_blocks(benchmark: DataFrame, n: int) -> Iterator[Items]:
 
 def rare_seeds(items: Items, seen: np.ndarray, rare: int = RARE, share: float = SEED_SHARE) -> np.ndarray:
     """Which grams are seeds, from their counts over all documents."""
-    of = [[] for _ in items.words]
-    for g, places in enumerate(items.places):
-        for k, _ in places:
-            of[k].append(g)
+    gram = np.repeat(np.arange(len(items.grams)), np.diff(items.first))
+    order = np.argsort(items.item, kind="stable")
     wanted = seen <= rare
-    for grams in of:
-        grams = np.array(grams)
-        wanted[grams[seen[grams] <= np.quantile(seen[grams], share)]] = True
+    for own in np.split(gram[order], np.flatnonzero(np.diff(items.item[order])) + 1):
+        own = np.unique(own)
+        wanted[own[seen[own] <= np.quantile(seen[own], share)]] = True
     return wanted
 
 
 def _counts(docs: DataFrame, held, n_grams: int) -> np.ndarray:
+    """Documents that have each gram."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, total = held.value, np.zeros(n_grams, dtype=np.int64)
         for _, texts in S.blocks(batches, 0):
-            for text in texts:
-                total += np.bincount(np.unique(items.hits(items.encode(text), np.ones(n_grams, dtype=bool))[1]), minlength=n_grams) if text else 0
+            ids, starts = items.line_up(texts)
+            at, grams = items.hits(ids)
+            once = np.unique((np.searchsorted(starts, at, "right") - 1) * n_grams + grams)
+            total += np.bincount(once % n_grams, minlength=n_grams)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["gram", "seen"])
 
     seen = np.zeros(n_grams, dtype=np.int64)
     counted = docs.select(S.text_bytes().alias("bytes")).mapInArrow(run, "gram long, seen long").groupBy("gram").agg(F.sum("seen").alias("seen"))
-    for r in counted.collect():  # at most one row a gram of the block
-        seen[r["gram"]] = r["seen"]
+    got = counted.toArrow()  # at most one row a gram of the block
+    seen[got.column("gram").to_numpy()] = got.column("seen").to_numpy()
     return seen
 
 
@@ -195,7 +225,9 @@ def _finders(docs: DataFrame, benchmark: DataFrame, n: int):
     for items in item_blocks(benchmark, n):
         if len(items.grams):
             held = sc.broadcast(items)
-            yield sc.broadcast((items, rare_seeds(items, _counts(docs, held, len(items.grams)))))
+            seeds = rare_seeds(items, _counts(docs, held, len(items.grams)))
+            held.destroy()
+            yield sc.broadcast((items, seeds))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
@@ -209,8 +241,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
             items, wanted = held.value
             for part, texts in S.blocks(batches, 1):
                 doc_ids, rows = part.column(0).to_pylist(), []
-                for doc_id, text in zip(doc_ids, texts, strict=True):
-                    rows += [(doc_id, items.names[k], score / (MATCH * len(items.words[k])), a, b - 1) for k, score, a, b in pairs_of(items, wanted, items.encode(text), threshold)]
+                for doc_id, found in zip(doc_ids, pairs_of(items, wanted, texts, threshold), strict=True):
+                    rows += [(doc_id, items.names[k], score / (MATCH * len(items.words[k])), a, b - 1) for k, score, a, b in found]
                 if rows:
                     yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "score", "first_word", "last_word"), r, strict=True)) for r in rows])
 
@@ -229,8 +261,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold:
             for batch in batches:
                 clean = []
                 for at in range(0, batch.num_rows, 256):
-                    texts = batch.column(column).slice(at, 256).to_pylist()
-                    clean += [not (t and pairs_of(items, wanted, items.encode(t.encode()), threshold)) for t in texts]
+                    texts = [t or b"" for t in S.as_bytes(batch.column(column)).slice(at, 256).to_pylist()]
+                    clean += [not found for found in pairs_of(items, wanted, texts, threshold)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)

@@ -58,6 +58,35 @@ def test_planted_leaks_are_found_and_clean_documents_left(spark):
     assert {r["doc_id"] for r in clean.select("doc_id").collect()} == {r[0] for r in rows} - {d for d, _ in want}
 
 
+def test_leaks_match_the_full_table_over_all_pairs(spark):
+    """Every document against every item by the whole Smith-Waterman table: copies with replaced words, cut ones, ones
+    with long insertions, and documents made of the items' own words. Pairs of enough score that share no run of three
+    words have no seed; there are none here."""
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(60)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice((5, 9, 20, 45, 100)))] for _ in range(14)]
+    docs = []
+    for d in range(90):
+        text = [rng.choice(vocabulary + ["x", "y"]) for _ in range(rng.randrange(0, 60))]
+        if d % 3:
+            copy = list(rng.choice(items))
+            if d % 3 == 1:
+                at = rng.randrange(len(copy))
+                copy[at:at] = ["z"] * rng.choice((0, 3, 15, 40))
+            copy = [w if rng.random() > rng.choice((0, 0.1, 0.25)) else "q" for w in copy][rng.choice((0, 0, 7)) :]
+            text[len(text) // 2 : len(text) // 2] = copy
+        docs.append((d, " ".join(text)))
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    want = {}
+    for d, text in docs:
+        for i, item in enumerate(items):
+            score = smith_waterman(text.split(), item)
+            if score >= D.needed(len(item)):
+                want[d, i] = score / (2 * len(item))
+    assert got == pytest.approx(want) and len(want) > 25
+
+
 def test_decontamination_in_blocks_of_items(spark, monkeypatch):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
