@@ -1,7 +1,8 @@
 """Toxicity: a counterfactual-regularised linear classifier over words and parts of words.
 
 A text is the set of its distinct words; a word's features are itself, its beginnings of 3 to 6 characters and its
-4-character pieces, hashed. Features that occur in at least LEAST labelled texts are ranked by how far their share of
+4-character pieces, hashed. A text has a feature as often as distinct words of it have, so its score is the sum of its
+words' and each word is scored once. Features that occur in at least LEAST labelled texts are ranked by how far their share of
 toxic texts departs from the whole, and the best FEATURES, at most two for three labelled texts, are kept. Logistic
 weights are fitted with an L2 penalty and with a counterfactual penalty: in every labelled text that names an identity
 group, each such term is swapped for the others of its class, and the squared changes of the text's score are added to
@@ -20,6 +21,7 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -91,17 +93,11 @@ def counterfactuals(words: set[bytes], others: dict[bytes, list[bytes]]) -> Iter
 
 
 def swap_changes(words: set[bytes], of: Callable[[bytes], list[int]], others: dict[bytes, list[bytes]]) -> list[np.ndarray]:
-    """For each counterfactual of the text the features it gains (f + 1) and loses (-f - 1), of the text's whole set."""
+    """For each counterfactual of the text the features it gains (f + 1) and loses (-f - 1)."""
     if words.isdisjoint(others):
         return []
-    count = Counter(f for w in words for f in of(w))
-    out = []
-    for a, b in counterfactuals(words, others):
-        new = set(of(b))
-        gained, lost = [f for f in new if f not in count], [f for f in of(a) if count[f] == 1 and f not in new]
-        if gained or lost:
-            out.append(np.array(sorted([*(f + 1 for f in gained), *(-f - 1 for f in lost)]), dtype=np.int32))
-    return out
+    changes = ((set(of(a)), set(of(b))) for a, b in counterfactuals(words, others))
+    return [np.array(sorted([*(f + 1 for f in new - old), *(-f - 1 for f in old - new)]), dtype=np.int32) for old, new in changes if old != new]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,36 +146,41 @@ def _encoder(index: dict[int, int], others: dict[bytes, list[bytes]]):
             rows, swaps = [], []
             for text in texts:
                 words = distinct_words(text)
-                rows.append(np.array(sorted({i for w in words for i in of(w)}), dtype=np.int32).tobytes())
+                rows.append(np.array(sorted(i for w in words for i in of(w)), dtype=np.int32).tobytes())
                 swaps.append([v.tobytes() for v in swap_changes(words, of, others)])
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["y", "features", "swaps"])
 
     return run
 
 
+class _Known(dict):
+    """Scores of words met, as they are asked for; forgotten once there are REMEMBERED."""
+
+    def __init__(self, weights: dict[int, float]):
+        self.weights = weights
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        own = self[word] = math.fsum(self.weights.get(f, 0.0) for f in features_of(word))
+        return own
+
+
 class Model:
     """Weights by hashed feature, intercept and calibration knots; scores words once and texts by their sum."""
 
     def __init__(self, weights: dict[int, float], intercept: float, knots: tuple[np.ndarray, np.ndarray]):
-        self.weights, self.intercept, self.knots, self.known = weights, intercept, knots, {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}}
+        self.weights, self.intercept, self.knots = weights, intercept, knots
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
-        """Intercept and the weights of the text's distinct features."""
-        out, get = np.empty(len(texts)), self.weights.get
-        for i, text in enumerate(texts):
-            own: set[int] = set()
-            for w in distinct_words(text):
-                f = self.known.get(w)
-                if f is None:
-                    if len(self.known) >= REMEMBERED:
-                        self.known = {}
-                    f = self.known[w] = [x for x in features_of(w) if x in self.weights]
-                own.update(f)
-            out[i] = self.intercept + sum(map(get, own))
-        return out
+        """Intercept and the scores of the text's distinct words; sums are exact, whatever the words' order."""
+        if "known" not in self.__dict__:
+            self.known = _Known(self.weights)
+        of = self.known.__getitem__
+        return np.array([self.intercept + math.fsum(map(of, distinct_words(t))) for t in texts])
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         return L.calibrated(self.raw(texts), self.knots)
