@@ -1,19 +1,20 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A template of L words is compared with every window of 2 L words that begins at a multiple of L (so any L consecutive
-words lie whole in one); it matches if the window holds at least THRESHOLD of the template's distinct words. Words are
-put in one global order, rarest in the whole corpus first, by counts over all documents. With a = ceil(THRESHOLD * t)
-needed of t words:
+A template of L words is compared with every window of 2 L words of a text, whichever word it begins at; it matches if
+some window holds at least THRESHOLD of the template's distinct words. Words are put in one global order, rarest in the
+whole corpus first, by counts over all documents. With a = ceil(THRESHOLD * t) needed of t words:
   prefix: a window without any of the t - a + 1 rarest template words cannot match;
-  length: nor can one with fewer than a distinct template-vocabulary words;
-  position: going through the template's words in order, a window is given up once the words left cannot reach a.
-No window is skipped otherwise, so the join is exact.
+  length: nor can a text with fewer than a distinct template words;
+  position: words that are 2 L places or more from all prefix words are in no window that can match.
+What is left is counted exactly: the word at place p adds one to all windows that begin after its last occurrence and
+hold p, so the running sum over places is the number of distinct template words of every window.
 
 Base phrases are found as consecutive words, all places. Words are runs of ASCII letters and digits and all non-ASCII
 characters, A-Z lowered.
 
-Cases: null text is empty and has no words; a label is given once a document; first and last places are null without a
-base phrase; extra columns are ignored; an empty table gives an empty result.
+Cases: null text is empty and has no words; very long texts are read whole; a label is given once a document; of equal
+best windows the first counts; first and last places are null without a base phrase; repeated rows each give their row;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -98,25 +99,33 @@ class Scanner:
             prefix = distinct[: len(distinct) - need + 1]
             if not have[prefix].any() or have[distinct].sum() < need:
                 continue
-            seeds = places[np.isin(ids[places], prefix)]
-            best = (0, 0)
-            for k in np.unique(np.r_[seeds // length, np.maximum(seeds // length - 1, 0)]).tolist():
-                window = ids[k * length : k * length + 2 * length]
-                own = np.unique(window[window >= 0])
-                if len(own) < need:
-                    continue
-                inside, found = np.isin(distinct, own), 0
-                for i, yes in enumerate(inside.tolist()):
-                    found += yes
-                    if found + len(distinct) - 1 - i < need:
-                        break
-                if found >= need and found > best[0]:
-                    best = (found, k * length)
-            if best[0]:
-                out.append((label, best[1], best[0] / len(distinct)))
+            found, start = densest(ids, places, distinct, prefix, 2 * length)
+            if found >= need:
+                out.append((label, start, found / len(distinct)))
         return out
 
 
+def densest(ids: np.ndarray, places: np.ndarray, distinct: np.ndarray, prefix: np.ndarray, width: int) -> tuple[int, int]:
+    """Most distinct words that a window of `width` words holds, of windows with a prefix word, and its first place."""
+    own = places[np.isin(ids[places], distinct)]
+    seeds = own[np.isin(ids[own], prefix)]
+    after = np.searchsorted(seeds, own)
+    near = np.minimum(np.abs(own - seeds[np.maximum(after - 1, 0)]), np.abs(seeds[np.minimum(after, len(seeds) - 1)] - own)) < width
+    own = own[near]
+    order = np.lexsort((own, ids[own]))
+    last = np.full(len(own), -1)  # the last place of the same word
+    same = np.flatnonzero(np.diff(ids[own[order]]) == 0)
+    last[order[same + 1]] = own[order[same]]
+    begin = np.maximum(np.maximum(last, own - width) + 1, 0)
+    event = np.concatenate([begin, own + 1])
+    step = np.repeat((1, -1), len(own))
+    order = np.argsort(event, kind="stable")
+    event, total = event[order], np.cumsum(step[order])
+    ends = np.flatnonzero(np.append(np.diff(event) > 0, True))  # all that happens at a place has happened
+    best = ends[np.argmax(total[ends])]
+    return int(total[best]), int(event[best])
+
+
 def corpus_counts(docs: DataFrame, scanner: Scanner) -> dict[bytes, int]:
     """Occurrences in all documents of the words that templates and phrases have; one row a word."""
     size = len(scanner.order)
@@ -158,7 +167,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0), *arrays], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, _SCHEMA)
+    return S.small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), S.text_bytes().alias("bytes")).mapInArrow(run, _SCHEMA)
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,22 +60,22 @@ def well_formed(text: bytes) -> bytes:
 def token_spans(text: bytes, vocabulary: bytes) -> tuple[np.ndarray, np.ndarray]:
     """First character and end character of each token of the whole text."""
     encoder, sizes = encoding(vocabulary)
-    ids = encoder.encode_ordinary(text.decode())
-    ends = np.cumsum(sizes[ids]) if ids else np.empty(0, dtype=np.int64)
-    chars = np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]  # characters begun before each byte
-    first = chars[ends - sizes[ids]] if ids else ends
-    inside = (np.r_[np.frombuffer(text, np.uint8), 0] & 0xC0) == 0x80
-    if ids:
-        first = first - inside[ends - sizes[ids]]  # begins within a character: that character's place
-    return first, chars[ends]
+    size = sizes[encoder.encode_to_numpy(text.decode(), disallowed_special=())]
+    ends = np.cumsum(size)
+    first = ends - size
+    if text.isascii():
+        return first, ends
+    inside = (np.frombuffer(text + b"\0", np.uint8) & 0xC0) == 0x80
+    chars = np.r_[0, np.cumsum(~inside)]  # characters begun before each byte
+    return chars[first] - inside[first], chars[ends]  # a token that begins within a character: that character's place
 
 
 def line_spans(text: bytes) -> np.ndarray:
     """Character places at which lines begin, and the end of the text."""
-    raw = np.frombuffer(text, np.uint8)
-    chars = np.r_[0, np.cumsum((raw & 0xC0) != 0x80)]
-    starts = np.r_[0, chars[np.flatnonzero(raw == 10) + 1]]
-    return np.append(starts if starts[-1] < chars[-1] or len(starts) == 1 else starts[:-1], chars[-1])
+    sizes = np.cumsum([0, *map(len, text.decode().split("\n"))])
+    starts = sizes[:-1] + np.arange(len(sizes) - 1)  # one line break before each line but the first
+    total = sizes[-1] + len(sizes) - 2
+    return np.append(starts if starts[-1] < total or len(starts) == 1 else starts[:-1], total)
 
 
 def attribute(first: np.ndarray, end: np.ndarray, edges: np.ndarray, rule: str = "start") -> np.ndarray:

@@ -171,6 +171,29 @@ def test_pipeline_stages_take_effect(spark):
     assert {"shard", "slot", "size", *columns} == set(docs.columns) and docs.select("shard").distinct().count() == 40
 
 
+ODD = [(901, None, "a"), (902, "", None), (905, "T " + "one of two texts under this id " * 30, "a"), (906, "T " + "one of two texts under this id " * 30, "b"), (905, "another text of its own, with other words in it " * 20, "a"), (None, "a row without an id keeps its place " * 10, "c"), (907, "repeated row " * 20, "c"), (907, "repeated row " * 20, "c"), (908, "word " * 40_000, "d"), (909, "é ü ß " * 50, None)]
+
+
+def test_pipeline_on_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls, repeated ids and rows, a very long text, names that operators use for themselves, and no rows at all."""
+    own = ("id", "k", "row", "h", "d", "line", "rank", "range", "mix_id", "mix_copy", "key_id", "copies", "copy", "source_size", "uid", "again_id", "drop_id", "bytes")
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "source")
+    odd = spark.createDataFrame(ODD, "doc_id long, text string, source string")
+    for rows in (odd.unionByName(plain), odd, odd.where("false")):
+        docs = rows.withColumns({c: F.lit(f"own {c}") for c in own})
+        columns, texts = docs.columns, {(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()}
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{id(rows)}-{k}")
+            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
+            docs = spark.read.parquet(path)
+            assert docs.columns == columns if k < 4 else set(docs.columns) == {*columns, "size", "shard", "slot"}
+            if k == 1:  # the copy goes, the other text of its id stays
+                kept = {(r["doc_id"], r["text"][:1]) for r in docs.where("doc_id in (905, 906)").select("doc_id", "text").collect()}
+                assert kept <= {(905, "T"), (905, "a")} and docs.where("doc_id = 907").count() <= 1
+        got = docs.collect()
+        assert all(r[c] == f"own {c}" for r in got for c in own) and {(r["doc_id"], r["text"]) for r in got} <= texts
+
+
 def test_no_cross_imports():
     import subprocess
 

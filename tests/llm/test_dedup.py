@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tessera.llm import exact_dedup, mixing, near_dedup, sharding, simhash
+from tessera.llm import exact_dedup, line_dedup, mixing, near_dedup, sharding, simhash
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string"
@@ -299,6 +299,64 @@ def test_shards_are_even_and_gapless(spark, documents):
     assert max(sizes.values()) <= share + most and len(rows) == documents.count()
 
 
+def reference_shards(texts, shards):
+    """(shard, slot) by sorting everything: hash of the text, id; the place of a record's middle on the line of all bytes."""
+    rows = sorted((xxhash.xxh64_intdigest((t or "").encode(), 42), d, len((t or "").encode()) + 16) for d, t in texts)
+    rows.sort(key=lambda r: (r[0] - (1 << 64) if r[0] >> 63 else r[0], r[1]))
+    total, at, out, used = sum(r[2] for r in rows), 0, {}, defaultdict(int)
+    for _, d, size in rows:
+        shard = min(shards - 1, int((at + size / 2) * shards / total))
+        out[d] = shard, used[shard]
+        at, used[shard] = at + size, used[shard] + 1
+    return out
+
+
+def test_shards_match_a_sort_of_everything(spark, documents, monkeypatch):
+    got = {r["doc_id"]: (r["shard"], r["slot"]) for r in sharding.op10_sharding(spark, SF).collect()}
+    texts = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    assert got == reference_shards(texts, 40)
+    monkeypatch.setattr(sharding, "SAMPLED", 1)  # a sample that leaves ranges overfull
+    hot = [(i, "hot" if i % 3 == 0 else f"text {i} " * (1 + i % 7)) for i in range(2000)]
+    out = sharding.shard(clashing(spark, hot), 7)
+    assert {r["doc_id"]: (r["shard"], r["slot"]) for r in out.collect()} == reference_shards(hot, 7)
+
+
+def test_overfull_ranges_are_cut_to_the_end(spark, monkeypatch):
+    """Keys of which a third are one key: in the end no range but of single keys holds more than its share allows."""
+    monkeypatch.setattr(sharding, "SAMPLED", 1)
+    keys = spark.range(3000).selectExpr("if(id % 3 = 0, 0, id * 7919 % 4001) as h", "if(id % 3 = 0, 5, id) as d", "100L as size")
+    bounds = sharding.splitters(keys, 3000, 300_000, 10)
+    rows = [(r["h"], r["d"]) for r in keys.collect()]
+    of = sharding._range_of(*(np.array(c, dtype=np.int64) for c in zip(*rows, strict=True)), *(np.array(c, dtype=np.int64) for c in zip(*bounds, strict=True)))
+    held = defaultdict(list)
+    for k, r in zip(of.tolist(), rows, strict=True):
+        held[k].append(r)
+    assert all(len(v) * 100 <= sharding.OVERFULL * 300_000 / 40 + 100 or len(set(v)) == 1 for v in held.values())
+
+
+def test_all_columns_come_through(spark):
+    rows = REPEATED + [(20 + i, f"some text {i}\nshared line") for i in range(20)]
+    df = clashing(spark, rows)
+    want = sorted(((d, t) for d, t in rows), key=str)
+    assert owned(sharding.shard(df, 3)) == want and set(sharding.shard(df, 3).columns) == {*df.columns, "size", "shard", "slot"}
+    for most in (1_000_000, 0):
+        out = line_dedup.strip_boilerplate(df, 1, broadcast_lines=most)
+        assert out.columns == [*df.columns, "n_lines", "n_removed", "clean_text"] and owned(out) == want
+    mixed = mixing.materialise(df)
+    assert mixed.columns == df.columns and set(owned(mixed)) <= set(want)
+
+
+def test_repeated_rows_spread_over_blocks(spark):
+    """Rows that agree in everything are numbered and mixed like others, and reruns agree."""
+    rows = [(1, "same words here", "a")] * 5000 + [(None, "no id", "a")] * 3000 + [(i, "w " * (i % 9 + 1), "b") for i in range(3000)]
+    out = mixing.numbered(mixing.with_sizes(frame(spark, rows)))
+    assert out.count() == len(rows) and out.where("doc_id = 1").select("number").distinct().count() == 5000
+    one, two = (mixing.mix(frame(spark, rows).repartition(n), block_rows=256).groupBy("doc_id", "copies").count().collect() for n in (2, 5))
+    assert sorted(map(str, one)) == sorted(map(str, two))
+    took = mixing.mix(frame(spark, rows), block_rows=256).groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t"), F.first("target").alias("target")).collect()
+    assert all(abs(r["t"] - r["target"]) <= 10 for r in took)
+
+
 def test_a_hot_text_is_cut_between_its_documents(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SAMPLED", 4)
     rows = [(i, "same text", "s") for i in range(3000)] + [(i, f"text {i}", "s") for i in range(3000, 6000)]

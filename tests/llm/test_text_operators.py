@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import defaultdict
 
 import duckdb
 import numpy as np
@@ -116,7 +117,7 @@ def brute_license(text):
     best, more = 0.0, set()
     for label, template in licenses.TEMPLATES.items():
         t = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", template.lower())
-        for k in range(0, max(1, len(words)), len(t)):
+        for k in range(max(1, len(words))):
             share = len(set(t) & set(words[k : k + 2 * len(t)])) / len(set(t))
             if share >= 0.8 - 1e-9:
                 more.add(label)
@@ -131,6 +132,11 @@ def license_rows(spark):
     for i, t in enumerate(licenses.TEMPLATES.values()):
         cut = t.split()
         rows.append((200 + i, "pre " * rng.randrange(40) + " ".join(w for j, w in enumerate(cut) if j % 7 != 3) + " post", "s"))
+        for k in range(6):  # 12 % of the words replaced, 60 % inserted, at any offset
+            text = ["pre"] * rng.randrange(3 * len(cut))
+            for w in cut:
+                text += ["other"] * (rng.random() < 0.6) + [w if rng.random() > 0.12 else "else"]
+            rows.append((400 + 10 * i + k, " ".join(text), "s"))
     return rows + [(i + 1000 if i is not None else None, t, s) for i, t, s in EDGE] + [(300, "CC-BY cc by; the MIT License", "s")]
 
 
@@ -185,6 +191,34 @@ def test_sections_are_lines():
     assert token_counts.line_spans(b"").tolist() == [0, 0] and token_counts.line_spans(b"\n\nx").tolist() == [0, 1, 2, 3]
 
 
+def ill_formed(spark):
+    return spark.sql("select 1L as doc_id, cast(x'61ff620a63' as string) as text, 's' as source union all select 2L, cast(x'610ae282' as string), 's'")
+
+
+def test_ill_formed_utf8_has_defined_results(spark):
+    rows = sorted((r["doc_id"], r["section"], r["first_char"], r["end_char"]) for r in token_counts.count(ill_formed(spark)).collect())
+    assert rows == [(1, 0, 0, 4), (1, 1, 4, 5), (2, 0, 0, 2), (2, 1, 2, 3)]
+    for most in (1_000_000, 0):
+        out = line_dedup.strip_boilerplate(ill_formed(spark), broadcast_lines=most).select("doc_id", F.hex("text").alias("a"), F.hex("clean_text").alias("b"), "n_lines").collect()
+        assert len(out) == 2 and all(r["a"] == r["b"] and r["n_lines"] == 2 for r in out)
+    bench = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    assert D.decontaminate(ill_formed(spark), bench).count() == 2 and D.leaks(ill_formed(spark), bench).count() == 0
+    assert licenses.scan(ill_formed(spark)).count() == 2
+
+
+def test_fields_share_one_encoding(spark):
+    df = spark.createDataFrame([(1, "A title", "the body of it", "x"), (2, None, "só", "y"), (3, "", "", "z")], "doc_id long, title string, text string, section string")
+    v = vocabulary()
+    encoder, sizes = token_counts.encoding(v)
+    got = defaultdict(list)
+    for r in token_counts.count_fields(df, ["title", "text"]).collect():
+        got[r["doc_id"]].append((r["section"], r["first_char"], r["end_char"], r["tokens"]))
+    for i, whole, cut in ((1, "A title\nthe body of it", 8), (2, "\nsó", 1), (3, "\n", 1)):
+        first, _ = token_counts.token_spans(whole.encode(), v)
+        assert len(first) == len(encoder.encode_ordinary(whole))
+        assert sorted(got[i]) == sorted([("title", 0, cut, float((first < cut).sum())), ("text", cut, len(whole), float((first >= cut).sum()))])
+
+
 def test_rules_allocate_crossing_tokens():
     first, end, edges = np.array([0, 2, 5]), np.array([2, 5, 9]), np.array([0, 3, 9])
     assert token_counts.attribute(first, end, edges).tolist() == [2, 1]
