@@ -10,8 +10,8 @@ its leading bits, 12 at least, are its bucket, and the room they leave holds the
 So a row is a bucket and its words, and a fingerprint is had back as word XOR mask. A group of buckets is one task's
 work; it is bounded, as equal words come from at most 2081 distinct fingerprints, and the number of groups follows the
 number of fingerprints. ROUNDS passes, each over its own share of the words, bound the disk. Within a group union-find
-leaves one edge a fingerprint; components over all groups are found by alternating large-star and small-star steps on
-distributed tables.
+leaves one edge a fingerprint; components over all groups are found by union-find within tasks of bounded size and, where
+there is more than one, by alternating large-star and small-star steps on distributed tables.
 
 Copies collapse into one fingerprint before any of this, so a hot group costs one ball.
 
@@ -38,6 +38,8 @@ SHINGLE, RADIUS, SEED = 4, 2, 42
 MASK_BITS, ROUNDS, GROUP_BYTES, MASKS, BLOCK, MOST_BLOCK = 12, 8, 16 << 20, 128, 2048, 1 << 16
 #: Words to a shuffled row that a block aims at, bytes to a task that links, and tasks a pass has at least if it has the groups.
 ROW_WORDS, TASK_BYTES, MOST_SPREAD = 64, 32 << 20, 32
+#: Edges of 16 bytes that one task turns into stars.
+TASK_EDGES = 1_000_000
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 2**64)
 _LANES = np.uint64(0x0101010101010101)
@@ -229,14 +231,29 @@ def links(fps: DataFrame, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFra
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the task's edges, in stars."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        a, b = forest(*(np.concatenate([np.asarray(x.column(i)) for x in got]) for i in (0, 1)))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     """(a, root) for every node a of the edges that is not the smallest of its component.
 
-    Alternates large-star (every node's larger neighbours hang on its smallest) and small-star (its smaller neighbours
-    do) until nothing changes. Minima aggregate before the shuffle and are written, so that both sides of a join are
-    plain tables and a hot node's rows can be split among tasks. Tables of earlier steps are deleted as they are replaced.
+    Union-find first turns the edges of each task (about task_edges of 16 bytes) into stars; where one task holds them
+    all, that is the answer. Otherwise large-star (every node's larger neighbours hang on its smallest) and small-star
+    (its smaller neighbours do) alternate until nothing changes. Minima aggregate before the shuffle and are written, so
+    that both sides of a join are plain tables and a hot node's rows can be split among tasks. Tables of earlier steps
+    are deleted as they are replaced.
     """
-    e = S.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    old = S.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    tasks = -(-S.count_by_partition(old) // task_edges) or 1
+    e = S.cut(old.coalesce(tasks).mapInArrow(_forests, "a long, b long").distinct() if tasks > 1 else old.coalesce(1).mapInArrow(_forests, "a long, b long"), "edges")
+    S.discard(old)
+    if tasks == 1:
+        return e.select("a", F.col("b").alias("root"))
     seen = None
     while True:
         mark = e.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).first()

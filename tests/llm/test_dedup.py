@@ -145,6 +145,16 @@ def test_ball_words_take_eight_bytes_at_any_size(n):
     assert 48 / (block * 2081 / 2**depth) < 0.8 and 2 ** (depth - group_bits) * simhash.GROUP_BYTES >= 0.5 * n * 2081 * 8
 
 
+@pytest.mark.parametrize("task_edges", [10**6, 50])
+def test_components_match_union_find(spark, task_edges):
+    """Chains, stars and random graphs, in one task and by star steps over many."""
+    rng = random.Random(8)
+    edges = [(i, i + 1) for i in range(1000, 1150)] + [(0, i) for i in range(1, 200)] + [(rng.randrange(2000, 2600), rng.randrange(2000, 2600)) for _ in range(300)] + [(5, 5)]
+    a, b = simhash.forest(*(np.array(c) for c in zip(*edges, strict=True)))
+    got = {tuple(r) for r in simhash.components(spark.createDataFrame(edges, "a long, b long").repartition(3), task_edges).collect()}
+    assert got == set(zip(a.tolist(), b.tolist(), strict=True))
+
+
 def test_simhash_edges(spark):
     prints = simhash.fingerprints(frame(spark, EDGE))
     out = simhash.cluster(prints).collect()
