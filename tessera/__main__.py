@@ -23,10 +23,14 @@ def _score(spark, a) -> int:
 
 def check(spark, valid: str, invalid: str, profile: str | None = None):
     """(path, side, errors, wrong) of every item file: valid ones must pass both gates, invalid ones fail at least one."""
-    read = lambda path, side: spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.lit(side).alias("side"), F.try_parse_json("value").alias("v"))
+    read = lambda path, side: spark.read.text(path, wholetext=True).select(F.input_file_name().alias("key"), F.lit(side).alias("side"), F.try_parse_json("value").alias("v"))
     rows = read(valid, "valid").unionByName(read(invalid, "invalid"))
-    rows = rows.select("path", "side", F.concat(gates.item_errors(F.col("v")), gates.shape_errors(F.col("v"), profile)).alias("errors"))
-    return rows.withColumn("wrong", (F.size("errors") == 0) != (F.col("side") == "valid"))
+    own = rows.where("v is null").select("key", F.array(F.lit("$: not JSON")).alias("errors"))
+    shapes = lambda v: F.when(F.col("path") == "$", gates.shape_errors(v, profile)).otherwise(gates.shape_errors(v))
+    graph = gates.gated(rows.where("v is not null"), shapes).select("key", F.col("errors").alias("shapes"))
+    both = gates.gated(rows.where("v is not null"), gates.item_errors).join(graph, "key").select("key", F.concat("errors", "shapes").alias("errors"))
+    out = rows.select("key", "side").join(both.unionByName(own), "key").withColumn("wrong", (F.size("errors") == 0) != (F.col("side") == "valid"))
+    return out.select(F.col("key").alias("path"), "side", "errors", "wrong")
 
 
 def _check(spark, a) -> int:

@@ -3,9 +3,9 @@ mistyped are told apart."""
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -17,9 +17,22 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
-def _kind(v: Column, path: str = "$") -> Column:
-    """OBJECT, ARRAY, STRING, VOID for null, or null if absent."""
-    return F.regexp_extract(F.schema_of_variant(F.try_variant_get(v, path, "variant")), r"^[A-Z]+", 0)
+def _is_object(v: Column, path: str = "$") -> Column:
+    return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
+
+
+def _is_array(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "array<variant>").isNotNull()
+
+
+def _is_text(v: Column, path: str) -> Column:
+    """A string, and not a number or anything else that would pass for one: its JSON begins with a quotation mark."""
+    return F.coalesce(F.substring(F.to_json(F.try_variant_get(v, path, "variant")), 1, 1) == '"', F.lit(False))
+
+
+def _is_null(v: Column, path: str) -> Column:
+    """Null or absent."""
+    return F.is_variant_null(F.coalesce(F.try_variant_get(v, path, "variant"), F.parse_json(F.lit("null"))))
 
 
 def _items(v: Column, path: str) -> Column:
@@ -64,53 +77,122 @@ def _facets(v: Column) -> Column:
     return facet_errors(F.try_variant_get(v, "$.facets", "map<string,string>"), "$.facets")
 
 
-def _gold_mention(m: Column) -> Column:
-    has_id, nil = _kind(m, "$.gold_id") == "OBJECT", _text(m, "$.nil")
-    return F.concat(
-        _all(
-            (F.length(_text(m, "$.mention_id")) > 0, "mention_id is required"), (_kind(m, "$.surface") == "STRING", "surface is required"),
-            (_text(m, "$.type").isin(*schemas.TYPES), "type is not one of the nine"),
-            (F.coalesce(has_id, F.lit(False)) != nil.isNotNull(), "exactly one of gold_id and nil is required"),
-            (nil.isNull() | nil.isin("NIL_NO_ID", "NON_ENTITY"), "nil is NIL_NO_ID or NON_ENTITY"),
-            (F.coalesce(nil != "NIL_NO_ID", F.lit(True)) | (F.size(_items(m, "$.failed_queries")) > 0), "NIL_NO_ID needs failed_queries"),
-            (~F.coalesce(has_id, F.lit(False)) | (_text(m, "$.gold_id.authority").isNotNull() & _text(m, "$.gold_id.id").isNotNull()), "gold_id needs authority and id"),
-        ),
-        _unknown(m, "$", ("mention_id", "surface", "aliases", "type", "gold_id", "nil", "failed_queries", "kb_snapshot", "hard_case", "verification", "notes")),
-    )
+def conform(v: Column, spec: dict | str, at: str = "$") -> Column:
+    """Errors of the value at a path against a specification; an absent value has none (its object asks for it).
+
+    Specifications: text, boolean, number, integer or anything; {"of": [values]}; {"from": a, "to": b, "whole": bool};
+    {"each": spec} for arrays; {"keys": {name: spec}, "needs": [names]} for objects, which are closed; and
+    {"texts": True} for objects of texts. "null": True admits null.
+    """
+    here = F.try_variant_get(v, at, "variant")
+    there = here.isNotNull() & ~_is_null(v, at) if isinstance(spec, dict) and spec.get("null") else here.isNotNull()
+    none = F.array().cast(_NONE)
+    if spec == "anything":
+        return none
+    told = lambda ok, msg: F.when(there & ~F.coalesce(ok, F.lit(False)), F.array(F.lit(f"{at}: {msg}"))).otherwise(none)
+    begins = F.substring(F.to_json(here), 1, 1)
+    number = begins.rlike("[-0-9]")
+    if spec == "text":
+        return told(begins == '"', "a text is expected")
+    if spec == "boolean":
+        return told(begins.isin("t", "f"), "true or false is expected")
+    if spec == "number":
+        return told(number, "a number is expected")
+    value = F.try_variant_get(v, at, "double")
+    if spec == "integer":
+        return told(number & (value == F.floor(value)), "a whole number is expected")
+    if "of" in spec:
+        return told((begins == '"') & _text(v, at).isin(*spec["of"]), f"not one of {', '.join(spec['of'])}")
+    if "from" in spec:
+        whole = value == F.floor(value) if spec.get("whole") else F.lit(True)
+        return told(number & whole & value.between(spec["from"], spec["to"]), f"a number from {spec['from']} to {spec['to']} is expected")
+    if "each" in spec:
+        inner = F.transform(_items(v, at), lambda x, i: F.transform(conform(x, spec["each"]), lambda e: F.concat(F.lit(f"{at}["), i.cast("string"), F.lit("]"), F.substring(e, 2, 1 << 20))))
+        return F.concat(told(_is_array(v, at), "an array is expected"), F.flatten(inner))
+    is_object = _is_object(v, at)
+    if "texts" in spec:
+        texts = F.map_values(F.try_variant_get(v, at, "map<string,variant>"))
+        return told(is_object & F.forall(texts, lambda x: F.substring(F.to_json(x), 1, 1) == '"'), "an object of texts is expected")
+    needs = [F.when(is_object & F.try_variant_get(v, f"{at}.{k}", "variant").isNull(), F.lit(f"{at}.{k}: required")) for k in spec.get("needs", ())]
+    return F.concat(told(is_object, "an object is expected"), F.array_compact(F.array(*needs)) if needs else none, _unknown(v, at, spec["keys"]), *[conform(v, own, f"{at}.{k}") for k, own in spec["keys"].items()])
+
+
+def ordered(errors: Column) -> Column:
+    """Errors by path, numbers in it as numbers, then by message."""
+    def key(e: Column) -> Column:
+        path = F.split(e, ": ", 2)[0]
+        for digits in range(1, 6):
+            path = F.regexp_replace(path, rf"\[(\d{{{digits}}})\]", "[" + "0" * (6 - digits) + "$1]")
+        return path
+
+    by = F.array_sort(F.transform(errors, lambda e: F.struct(key(e).alias("path"), e.alias("e"))))
+    return F.when(F.size(errors) > 1, F.transform(by, lambda x: x["e"])).otherwise(errors)
+
+
+# What gold and prediction records hold.
+_STRUCTURED = {"each": {"keys": {"schemaOrgType": "text", "slots": {"each": {"keys": {"name": "text", "value": "anything"}, "needs": ["name", "value"]}}, "steps": {"each": {"keys": {"order": "integer", "text": "text"}, "needs": ["order", "text"]}}}, "needs": ["schemaOrgType"]}}
+GOLD = {
+    "keys": {
+        "item_id": "text",
+        "strata": {"keys": {"has_vtt": "boolean", "is_slideshow": "boolean", "duration_tercile": {"from": 1, "to": 3, "whole": True}}},
+        "mentions": {
+            "each": {
+                "keys": {
+                    "mention_id": "text", "surface": "text", "aliases": {"each": "text"}, "type": {"of": schemas.TYPES},
+                    "gold_id": {"keys": {"authority": "text", "id": "text"}, "needs": ["authority", "id"], "null": True}, "nil": {"of": ["NIL_NO_ID", "NON_ENTITY"], "null": True}, "failed_queries": {"each": "text"},
+                    "kb_snapshot": {"keys": {"authority": "text", "retrieved": "text"}, "needs": ["authority", "retrieved"]}, "hard_case": "boolean",
+                    "verification": {"keys": {"name": "text", "address": "text", "lat": "number", "lng": "number", "url": "text"}}, "notes": "text",
+                },
+                "needs": ["mention_id", "surface", "type"],
+            },
+        },
+        "concepts": {"each": {"keys": {"concept_id": "text", "authority": "text", "label": "text"}, "needs": ["concept_id"]}},
+        "facets": {"texts": True},
+        "structured": _STRUCTURED,
+        "claims": {"each": {"keys": {"claim_id": "text", "statement": "text"}, "needs": ["claim_id", "statement"]}},
+    },
+    "needs": ["item_id"],
+}
+PRED = {
+    "keys": {
+        "item_id": "text",
+        "mentions": {
+            "each": {
+                "keys": {
+                    "surface": "text", "type": {"of": schemas.TYPES},
+                    "grounding": {"keys": {"authority": "text", "externalId": "anything", "nil": "boolean", "grounding_confidence": {"from": 0, "to": 1}}, "needs": ["authority", "externalId", "nil", "grounding_confidence"]},
+                },
+                "needs": ["surface", "type"],
+            },
+        },
+        "concepts": {"each": {"keys": {"concept_id": "text", "authority": "text", "score": {"from": 0, "to": 1}}, "needs": ["concept_id"]}},
+        "facets": {"texts": True},
+        "structured": _STRUCTURED,
+        "claims": {"each": {"keys": {"statement": "text"}, "needs": ["statement"]}},
+    },
+    "needs": ["item_id"],
+}
+
+
+def _one_label(m: Column) -> Column:
+    """A mention has an id or a reason why it has none, and for one that was searched in vain the queries."""
+    linked, nil = _is_object(m, "$.gold_id"), _text(m, "$.nil")
+    searched = F.size(_items(m, "$.failed_queries")) > 0
+    return _all((linked != nil.isNotNull(), "exactly one of gold_id and nil is required"), (F.coalesce(nil != "NIL_NO_ID", F.lit(True)) | searched, "NIL_NO_ID needs failed_queries"))
+
+
+def _id_by_nil(m: Column) -> Column:
+    nil = F.try_variant_get(m, "$.grounding.nil", "boolean")
+    ok = F.when(nil, _is_null(m, "$.grounding.externalId")).otherwise(_is_text(m, "$.grounding.externalId"))
+    return _all((nil.isNull() | ok, "externalId is a string exactly if nil is false"))
 
 
 def gold_errors(v: Column) -> Column:
-    return F.concat(
-        _all((_kind(v) == "OBJECT", "$: not an object"), (F.length(_text(v, "$.item_id")) > 0, "$.item_id: required")),
-        _unknown(v, "$", ("item_id", "strata", "mentions", "concepts", "facets", "structured", "claims")),
-        _each(_items(v, "$.mentions"), _gold_mention, "$.mentions"),
-        _each(_items(v, "$.concepts"), lambda c: _all((_text(c, "$.concept_id").isNotNull(), "concept_id is required")), "$.concepts"),
-        _facets(v),
-    )
-
-
-def _pred_mention(m: Column) -> Column:
-    g = _kind(m, "$.grounding") == "OBJECT"
-    nil, ext, conf = F.try_variant_get(m, "$.grounding.nil", "boolean"), _kind(m, "$.grounding.externalId"), F.try_variant_get(m, "$.grounding.grounding_confidence", "double")
-    return F.concat(
-        _all(
-            (_kind(m, "$.surface") == "STRING", "surface is required"), (_text(m, "$.type").isin(*schemas.TYPES), "type is not one of the nine"),
-            (~F.coalesce(g, F.lit(False)) | nil.isNotNull(), "grounding.nil is required"),
-            (~F.coalesce(g, F.lit(False)) | nil.isNull() | F.when(nil, F.coalesce(ext, F.lit("VOID")) == "VOID").otherwise(ext == "STRING"), "externalId is a string exactly if nil is false"),
-            (~F.coalesce(g, F.lit(False)) | conf.between(0, 1), "grounding_confidence is from 0 to 1"),
-        ),
-        _unknown(m, "$", ("surface", "type", "grounding")),
-    )
+    return ordered(F.concat(conform(v, GOLD), _each(_items(v, "$.mentions"), _one_label, "$.mentions"), _facets(v)))
 
 
 def pred_errors(v: Column) -> Column:
-    return F.concat(
-        _all((_kind(v) == "OBJECT", "$: not an object"), (F.length(_text(v, "$.item_id")) > 0, "$.item_id: required")),
-        _unknown(v, "$", ("item_id", "mentions", "concepts", "facets", "structured", "claims")),
-        _each(_items(v, "$.mentions"), _pred_mention, "$.mentions"),
-        _each(_items(v, "$.concepts"), lambda c: _all((_text(c, "$.concept_id").isNotNull(), "concept_id is required"), (F.coalesce(F.try_variant_get(c, "$.score", "double").between(0, 1), F.lit(True)), "score is from 0 to 1")), "$.concepts"),
-        _facets(v),
-    )
+    return ordered(F.concat(conform(v, PRED), _each(_items(v, "$.mentions"), _id_by_nil, "$.mentions"), _facets(v)))
 
 
 def _evidence(e: Column) -> Column:
@@ -136,7 +218,7 @@ _EXTRACTIONS = {
 
 def extraction_errors(x: Column) -> Column:
     kind = _text(x, "$.kind")
-    need = [(~F.coalesce(kind == k, F.lit(False)) | (_kind(x, f"$.{f}") == "STRING"), f"{f} is required") for k, fs in _EXTRACTIONS.items() for f in fs]
+    need = [(~F.coalesce(kind == k, F.lit(False)) | (_is_text(x, f"$.{f}")), f"{f} is required") for k, fs in _EXTRACTIONS.items() for f in fs]
     typed = ~F.coalesce(kind == "named_entity", F.lit(False)) | _text(x, "$.type").isin(*schemas.TYPES)
     facet = F.when((kind == "facet") & _text(x, "$.facet").isNotNull() & _text(x, "$.value").isNotNull(), F.create_map(F.coalesce(_text(x, "$.facet"), F.lit("")), _text(x, "$.value")))
     return F.concat(_all((kind.isin(*_EXTRACTIONS), "kind is not one of the five"), (typed, "type is not one of the nine"), *need), _evident(x), facet_errors(facet, "$"))
@@ -146,11 +228,11 @@ def extractor_output_errors(v: Column) -> Column:
     """The model's output: five arrays, evidence everywhere, and no ids: unknown keys are errors."""
     lists = {"mentions": ("surface", "type", "aliases", "evidence"), "concepts": ("surface", "evidence"), "facets": ("facet", "value", "evidence"), "claims": ("statement", "evidence"), "structured": ("schemaOrgType", "slots", "steps", "evidence")}
     required = {"mentions": ("surface",), "concepts": ("surface",), "facets": ("facet", "value"), "claims": ("statement",), "structured": ("schemaOrgType",)}
-    out = [_all((_kind(v) == "OBJECT", "$: not an object"), *[(_kind(v, f"$.{k}") == "ARRAY", f"$.{k}: an array is required") for k in lists]), _unknown(v, "$", lists)]
+    out = [_all((_is_object(v), "$: not an object"), *[(_is_array(v, f"$.{k}"), f"$.{k}: an array is required") for k in lists]), _unknown(v, "$", lists)]
     for k, keys in lists.items():
         def check(x: Column, keys=keys, k=k) -> Column:
             typed = [(_text(x, "$.type").isin(*schemas.TYPES), "type is not one of the nine")] if k == "mentions" else []
-            return F.concat(_all(*[(_kind(x, f"$.{f}") == "STRING", f"{f} is required") for f in required[k]], *typed), _unknown(x, "$", keys), _evident(x))
+            return F.concat(_all(*[(_is_text(x, f"$.{f}"), f"{f} is required") for f in required[k]], *typed), _unknown(x, "$", keys), _evident(x))
         out.append(_each(_items(v, f"$.{k}"), check, f"$.{k}"))
     pairs = F.filter(F.transform(_items(v, "$.facets"), lambda f: F.struct(_text(f, "$.facet").alias("key"), _text(f, "$.value").alias("value"))), lambda e: e["key"].isNotNull() & e["value"].isNotNull())
     # assignments may repeat an axis, so they are checked one by one and not as a map
@@ -174,20 +256,38 @@ def _dates(v: Column) -> Column:
     return F.array_compact(F.transform(sources, lambda s: _text(s, "$.at")))
 
 
-def item_errors(v: Column, depth: int = 1) -> Column:
-    """Admission: a handle and a dated save; closed keys; known kinds; extractions; children down to `depth` levels."""
+def item_errors(v: Column) -> Column:
+    """Admission of one post: a handle and a dated save; closed keys; known kinds; extractions; children that are posts
+    (which `gated` admits in their turn)."""
     saves = _each(_items(v, "$.saves"), lambda s: F.concat(_all((F.size(_items(s, "$.sources")) > 0, "sources is required")), _each(_items(s, "$.sources"), lambda x: _all((_text(x, "$.kind").isin(*schemas.SAVE_KINDS), "kind is not known"), (_text(x, "$.at").isNotNull(), "at is required")), "sources")), "$.saves")
-    media = F.coalesce(_kind(v, "$.mediaKind"), F.lit("VOID")).isin("VOID", "") | _text(v, "$.mediaKind").isin(*schemas.MEDIA_KINDS)
-    parts = [
-        _all((_kind(v) == "OBJECT", "$: not an object"), (_text(v, "$.identity.status").isin(*schemas.IDENTITY_STATUSES), "$.identity.status: not known"), (_handle(v), "$.identity: a handle is required"), (F.size(_items(v, "$.saves")) > 0, "$.saves: a save is required"), (media, "$.mediaKind: not known")),
-        _unknown(v, "$", _ITEM_KEYS), saves, _each(_items(v, "$.extractions"), extraction_errors, "$.extractions"),
-    ]
-    if depth:
-        parts.append(_each(_items(v, "$.children"), lambda c: F.concat(_all((_kind(c, "$.post") == "OBJECT", "post is required")), item_errors(F.try_variant_get(c, "$.post", "variant"), depth - 1)), "$.children"))
-    return F.concat(*parts)
+    media = _is_null(v, "$.mediaKind") | _text(v, "$.mediaKind").isin(*schemas.MEDIA_KINDS)
+    errors = F.concat(
+        _all((_is_object(v), "$: not an object"), (_text(v, "$.identity.status").isin(*schemas.IDENTITY_STATUSES), "$.identity.status: not known"), (_handle(v), "$.identity: a handle is required"), (F.size(_items(v, "$.saves")) > 0, "$.saves: a save is required"), (media, "$.mediaKind: not known")),
+        _unknown(v, "$", _ITEM_KEYS), saves, _each(_items(v, "$.extractions"), extraction_errors, "$.extractions"), _each(_items(v, "$.children"), lambda c: _all((_is_object(c, "$.post"), "post is required")), "$.children"),
+    )
+    return ordered(errors)
+
+
+def posts(items: DataFrame) -> DataFrame:
+    """Every post of items (key, v), the items' own and their children's down to the last: key, path and v, level by level."""
+    level = items.select("key", F.lit("$").alias("path"), "v")
+    out = level
+    while True:
+        level = level.select("key", "path", F.posexplode(_items(F.col("v"), "$.children")).alias("i", "c"))
+        level = level.select("key", F.concat("path", F.lit(".children["), F.col("i").cast("string"), F.lit("].post")).alias("path"), F.try_variant_get("c", "$.post", "variant").alias("v")).where("v is not null")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+
+
+def gated(items: DataFrame, gate: Callable[[Column], Column]) -> DataFrame:
+    """key and errors of items (key, v), of all their posts, each checked once."""
+    checked = posts(items).select("key", "path", F.transform(gate(F.col("v")), lambda e: F.when(e.startswith("$"), F.substring(e, 2, 1 << 20)).otherwise(F.concat(F.lit(": "), e))).alias("errors"))
+    found = checked.select("key", F.transform("errors", lambda e: F.concat(F.col("path"), e)).alias("errors"))
+    return found.groupBy("key").agg(F.flatten(F.collect_list("errors")).alias("errors")).select("key", ordered(F.col("errors")).alias("errors"))
 
 
-def shape_errors(v: Column, profile: str | None = None, depth: int = 1) -> Column:
+def shape_errors(v: Column, profile: str | None = None) -> Column:
     """The graph shapes as predicates: handle, dated save, media kind, and of all extractions evidence, mode and channel.
 
     A profile tightens the base for items of its platform and is always checked together with it.
@@ -202,6 +302,4 @@ def shape_errors(v: Column, profile: str | None = None, depth: int = 1) -> Colum
         parts.append(_all((~own | _text(v, "$.identity.canonicalId").isNotNull(), "canonicalId is required"), (~own | (_text(v, "$.identity.status") == "platform_verified"), "status is platform_verified"), (~own | media.isin("video", "photo"), "mediaKind is video or photo")))
     elif profile is not None:
         raise ValueError(f"unknown profile: {profile}")
-    if depth:
-        parts.append(_each(_items(v, "$.children"), lambda c: shape_errors(F.try_variant_get(c, "$.post", "variant"), None, depth - 1), "children"))
     return F.concat(*parts)

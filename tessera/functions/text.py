@@ -79,22 +79,14 @@ def normalize_mentions(s: pd.Series) -> pd.Series:
     return s.map(lambda v: None if v is None else [mention_form(x) for x in v])
 
 
-@F.pandas_udf(T.DoubleType())
-def set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-def ascii_mention(c: Column) -> Column:
-    """normalize_mention for text in which NFKC and case folding change no more than ASCII case, in built-in functions."""
-    s = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?<=[\p{L}\p{N}_])['’](?=[\p{L}\p{N}_])", "")
-    s = F.regexp_replace(s, r"[^\p{L}\p{N}_\s]", " ")
-    return F.regexp_replace(F.trim(F.regexp_replace(s, r"\s+", " ")), r"^(?:the|an|a) +", "")
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def normalize_names(s: pd.Series) -> pd.Series:
+    return s.map(lambda v: None if v is None else [name_form(x) for x in v])
 
 
-def ascii_name(c: Column) -> Column:
-    """normalize_name under the same condition."""
-    s = F.regexp_replace(F.trim(F.lower(F.coalesce(c, F.lit("")))), "^@", "")
-    return F.regexp_replace(F.regexp_replace(s, r"\s+", " "), "^the ", "")
+@F.pandas_udf(T.DoubleType())
+def set_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0.0 if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a, b, strict=True)])
 
 
 def mention_key(kind: Column, name: Column) -> Column:

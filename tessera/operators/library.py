@@ -80,10 +80,10 @@ def normalize_items(raw: DataFrame, source: Column) -> DataFrame:
     return well_formed(out)
 
 
-def dedupe_mentions(mentions: DataFrame, exact: bool = True) -> DataFrame:
+def dedupe_mentions(mentions: DataFrame) -> DataFrame:
     """Of mentions (item_id, pos, surface, type, aliases, ...) of one key in an item the first stays; the surfaces and
     aliases of all become its aliases, each once, its own surface left out."""
-    name = T.normalize_name(F.col("surface")) if exact else T.ascii_name(F.col("surface"))
+    name = T.normalize_name(F.col("surface"))
     rows = mentions.withColumn("key", T.mention_key(F.col("type"), name))
     rest = [c for c in mentions.columns if c not in ("item_id", "aliases")]
     none = F.array().cast("array<string>")
@@ -93,9 +93,9 @@ def dedupe_mentions(mentions: DataFrame, exact: bool = True) -> DataFrame:
     return agg.select("item_id", "key", "first.*", F.filter(F.array_distinct(names), lambda n: n != own).alias("aliases"))
 
 
-def mention_index(mentions: DataFrame, exact: bool = True) -> DataFrame:
+def mention_index(mentions: DataFrame) -> DataFrame:
     """key, type, surface (both of the first sight) and item_ids in order of first sight; mentions have item_pos, pos."""
-    name = T.normalize_name(F.col("surface")) if exact else T.ascii_name(F.col("surface"))
+    name = T.normalize_name(F.col("surface"))
     rows = mentions.select(T.mention_key(F.col("type"), name).alias("key"), "type", "surface", "item_id", F.struct("item_pos", "pos").alias("at"))
     per = rows.groupBy("key", "item_id").agg(F.min_by(F.struct("at", "type", "surface"), "at").alias("f"))
     return per.groupBy("key").agg(F.min_by("f", "f.at").alias("f"), F.array_sort(F.collect_list(F.struct(F.col("f.at").alias("at"), F.col("item_id").alias("value")))).alias("ids")).select("key", "f.type", "f.surface", F.transform("ids", lambda x: x["value"]).alias("item_ids"))
@@ -133,6 +133,11 @@ def after_run(jobs: DataFrame, now: Column, jitter: Column, most: int = MAX_ATTE
     )
 
 
+def status_counts(jobs: DataFrame) -> DataFrame:
+    """Jobs of each status."""
+    return jobs.groupBy("status").agg(F.count(F.lit(1)).alias("jobs"))
+
+
 def apply_keyed(table: DataFrame, changes: DataFrame, key: str = "id", insert: bool = False) -> DataFrame:
     """Rows of the table replaced by the changes of their key; a change without a row is added only if `insert`."""
     kept = table.join(changes.select(key), key, "left_anti")

@@ -35,9 +35,9 @@ def candidate_lists(kb: DataFrame, limit: int = CANDIDATES) -> DataFrame:
     return lists.select("source", "name_key", F.slice("all", 1, limit).alias("candidates"))
 
 
-def keyed(mentions: DataFrame, exact: bool = True) -> DataFrame:
+def keyed(mentions: DataFrame) -> DataFrame:
     """mentions (item_id, pos, type, surface) with name_key and key."""
-    name = T.normalize_name(F.col("surface")) if exact else T.ascii_name(F.col("surface"))
+    name = T.normalize_name(F.col("surface"))
     return mentions.withColumn("name_key", name).withColumn("key", T.mention_key(F.col("type"), F.col("name_key")))
 
 

@@ -13,6 +13,7 @@ from tessera.operators import align as A
 from tessera.operators import bootstrap as B
 from tessera.operators import calibration, concepts, extraction, facets, grounding, structured
 
+# Fixed value: why claims are not scored.
 CLAIM_NOTE = "faithfulness/coverage require validated judge (Phase 4)"
 
 
@@ -44,7 +45,7 @@ def _named(gold: DataFrame, pred: DataFrame, c: float, b: int, seed: int, rng: s
         "extraction": _rows(extraction.scores(al).orderBy("scheme", "level", "type")),
         "grounding": {
             "disambiguation": _rows(grounding.disambiguation(al)), "inkb": _rows(grounding.inkb(al)), "nil": _rows(grounding.nil(al))[0],
-            "phi_c": _rows(grounding.effective_reliability(al, c))[0], "risk_coverage": _rows(grounding.curve_summary(curve))[0] | {"curve": _rows(curve.orderBy(F.desc("threshold")))},
+            "phi_c": _rows(grounding.effective_reliability(al, c))[0], "risk_coverage": _rows(grounding.curve_summary(curve))[0] | {"curve": _rows(curve.drop("here", "here_wrong").orderBy(F.desc("threshold")))},
         },
         "calibration": {"brier": calibration.brier(ans).first()["brier"], "smece": next((r["smece"] for r in calibration.smece(ans).collect()), 0.0), "bins": _rows(calibration.bins(ans).orderBy("bin"))},
         "ci": ci,

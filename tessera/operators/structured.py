@@ -7,14 +7,12 @@ nth, order, text), documents (item_id, type, nth).
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.functions import text as T
-from tessera.operators.assign import assign
+from tessera.operators.align import matched
 
 FUZZY = 90
 KEY = ["item_id", "type", "nth"]
@@ -47,26 +45,21 @@ def field_accuracy(docs: DataFrame, hits: DataFrame) -> DataFrame:
     return out.withColumns({"accuracy": X.ratio(F.col("correct"), F.col("total")), "complete": F.col("correct") == F.col("total")})
 
 
-def _match_steps(key: tuple, g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-    w = np.zeros((len(g), len(p)))
-    for i, a in enumerate(g["text"]):
-        for j, b in enumerate(p["text"]):
-            r = 100.0 if a == b else T.token_set_ratio(a, b)
-            w[i, j] = 1.0 if a == b else min(r / 100, 0.999) if r >= FUZZY else 0.0
-    pairs = [(i, j) for i, j in assign(w) if w[i, j] > 0]
-    head = dict(zip(KEY, key, strict=True))
-    return pd.DataFrame([head | {"g": int(g["order"].iloc[i]), "p": int(p["order"].iloc[j])} for i, j in pairs], columns=[*KEY, "g", "p"])
-
-
 def steps(docs: DataFrame) -> DataFrame:
+    """KEY, pos, order and text of every step."""
     rows = docs.select(*KEY, F.posexplode("steps").alias("pos", "s"))
-    return rows.select(*KEY, F.coalesce("s.order", F.col("pos")).alias("order"), T.normalize_mention(F.coalesce("s.text", F.lit(""))).alias("text"))
-
-
-def matched_steps(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """KEY, g and p: orders of matched steps. A document's steps are few; the groups are documents."""
-    schema = "item_id string, type string, nth int, g int, p int"
-    return gold.groupBy(*KEY).cogroup(pred.groupBy(*KEY)).applyInPandas(_match_steps, schema)
+    return rows.select(*KEY, "pos", F.coalesce("s.order", F.col("pos")).alias("order"), T.normalize_mention(F.coalesce("s.text", F.lit(""))).alias("text"))
+
+
+def matched_steps(gold: DataFrame, pred: DataFrame, fuzzy: float = FUZZY) -> DataFrame:
+    """KEY, g and p: orders of matched steps, by the optimal matching of each document's."""
+    g = gold.select(*KEY, F.col("pos").alias("g"), F.col("order").alias("g_order"), F.col("text").alias("a"))
+    p = pred.select(*KEY, F.col("pos").alias("p"), F.col("order").alias("p_order"), F.col("text").alias("b"))
+    equal = F.col("a") == F.col("b")
+    ratio = T.set_ratio(F.when(~equal, F.col("a")), F.when(~equal, F.col("b")))
+    weight = F.when(equal, 1.0).when(ratio >= fuzzy, F.least(ratio / 100, F.lit(0.999)))
+    cell = g.join(p, KEY).select(*KEY, "g", "p", "g_order", "p_order", weight.alias("weight")).where("weight > 0")
+    return matched(cell, KEY).select(*KEY, F.col("g_order").cast("int").alias("g"), F.col("p_order").cast("int").alias("p"))
 
 
 def kendall(pairs: DataFrame, *key: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import schemas
@@ -15,9 +15,9 @@ from tessera.operators import library as L
 from tessera.operators import linking
 from tessera.plans import adapters as P
 from tessera.plans.measurement import _ratio, rounded
-from tessera.session import shared_root
+from tessera.session import setting, shared_root
 from tessera.sources import pages, sinks
-from tessera.streaming import capture
+from tessera.streaming import capture, sequencer
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -86,20 +86,51 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _joined(table.read(), "sources")
 
 
-@query()
+_EVENTS = """e AS (SELECT CAST(user_id AS VARCHAR) AS source, event_id AS seq, event_id % 4 <> 0 AS page, event_id // (100 * (1 + user_id % 40)) AS count, event_id % 211 <> 0 AS has_more, CAST(event_id % 3 AS VARCHAR) AS cursor FROM events)"""
+
+
+@query(f"""WITH {_EVENTS}, a AS (SELECT *, page AND has_more AS more, row_number() OVER u AS rn, coalesce(max(CASE WHEN page THEN count END) OVER b, 0) AS before, last_value(CASE WHEN page AND has_more THEN cursor END IGNORE NULLS) OVER b AS mark
+  FROM e WINDOW u AS (PARTITION BY source ORDER BY seq), b AS (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+g AS (SELECT *, more AND count > before AS grown, greatest(before, CASE WHEN page THEN count ELSE 0 END) AS now FROM a),
+h AS (SELECT *, more AND NOT grown AND NOT coalesce(cursor = mark, false) AND NOT coalesce(bool_or(grown) OVER (PARTITION BY source ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS fair FROM g),
+m AS (SELECT *, grown OR (fair AND sum(CAST(fair AS INTEGER)) OVER (PARTITION BY source ORDER BY seq) <= 400) AS moved FROM h),
+q AS (SELECT *, rn - coalesce(max(CASE WHEN moved THEN rn END) OVER (PARTITION BY source ORDER BY seq), 0) AS still FROM m),
+c AS (SELECT *, CASE WHEN page AND NOT has_more THEN 'done' WHEN moved THEN 'scroll' WHEN still >= 8 THEN 'giveup' ELSE 'wait' END AS act FROM q),
+z AS (SELECT *, CASE WHEN act = 'done' THEN 0 ELSE still END AS quiet_now, min(CASE WHEN act IN ('done', 'giveup') THEN rn END) OVER (PARTITION BY source) AS last FROM c),
+y AS (SELECT source, seq, rn, x.act, x.quiet_now, x.now FROM (SELECT z.source, z.seq, z.rn, CASE WHEN z.rn > z.last THEN l ELSE {{'act': z.act, 'quiet_now': z.quiet_now, 'now': z.now}} END AS x
+  FROM z LEFT JOIN (SELECT source, {{'act': act, 'quiet_now': quiet_now, 'now': now}} AS l FROM z WHERE rn = last) o ON o.source = z.source))
+SELECT source, seq, act AS action, CASE WHEN act = 'wait' THEN least(1000 * CAST(2 ** (quiet_now - 1) AS BIGINT), 60000) END::BIGINT AS wait_ms, CASE act WHEN 'scroll' THEN 'scrolling' WHEN 'wait' THEN 'waiting' ELSE act END AS status,
+  now::BIGINT AS captured, quiet_now::INTEGER AS quiet, CASE WHEN act = 'giveup' THEN '8 quiet events in a row after ' || CAST(now AS VARCHAR) || ' items, and no page said it was the last' END AS reason FROM y""")
 def stream_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The completion reducer over event types as sources, as a stream; a state machine has no SQL."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """The completion reducer over users' events as captures that resume, as a stream from files to files."""
+    k, u = F.col("event_id"), F.col("user_id")
     base = f"{shared_root(spark)}/completion-{uuid.uuid4().hex}"
-    rows = P.arrivals(spark, sf_dir)
-    last = rows.agg(F.max("seq")).first()[0]
-    n = F.approx_count_distinct("id").over(Window.partitionBy("source").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-    events = rows.select(F.col("sources")[0].alias("source"), "seq", F.col("seq").alias("now"), F.when(F.col("k") % 4 == 0, "tick").otherwise("page").alias("kind"), "id", (F.col("seq") < last - 100).alias("has_more"), F.col("k").cast("string").alias("cursor")).withColumn("count", n).drop("id")
+    events = P.read(spark, sf_dir, "events").select(
+        u.cast("string").alias("source"), k.alias("seq"), F.when(k % 4 != 0, "page").otherwise("tick").alias("kind"), F.floor(k / (100 * (1 + u % 40))).alias("count"), (k % 211 != 0).alias("has_more"), (k % 3).cast("string").alias("cursor"),
+    )
     events.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
-    name = f"completion_{uuid.uuid4().hex}"
-    capture.completion(stream).writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+    with setting(spark, "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"):
+        out = capture.completion(spark.readStream.schema(events.schema).parquet(f"{base}/in"), resuming=True)
+        out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+_LEDGER = """lg AS (SELECT event_id AS n, CAST(user_id AS VARCHAR) AS account, event_id // 900 AS sweep, ['favorites', 'likes', 'posts', 'reposts'][event_id % 7 % 4 + 1] AS source, ['begun', 'done', 'giveup'][event_id % 3 + 1] AS event FROM events)"""
+
+
+@query(f"""WITH {_LEDGER}, l AS (SELECT account, sweep, source, arg_max(event, n) AS event FROM lg GROUP BY 1, 2, 3),
+w AS (SELECT account, sweep, count(*) FILTER (WHERE event <> 'begun') >= 4 AS ended FROM l GROUP BY 1, 2), s AS (SELECT account, max(sweep) AS sweep, arg_max(ended, sweep) AS ended FROM w GROUP BY 1),
+b AS (SELECT s.account, s.sweep + CAST(ended AS INTEGER) AS sweep, f.place, f.source FROM s, (VALUES (0, 'favorites'), (1, 'likes'), (2, 'posts'), (3, 'reposts')) f(place, source)),
+r AS (SELECT b.*, l.event, coalesce(p.event = 'giveup', false) AS again FROM b LEFT JOIN l ON l.account = b.account AND l.sweep = b.sweep AND l.source = b.source LEFT JOIN l p ON p.account = b.account AND p.sweep = b.sweep - 1 AND p.source = b.source),
+o AS (SELECT account, sweep, min(source) FILTER (WHERE event = 'begun') AS open, arg_min(source, (NOT again, place)) FILTER (WHERE event IS NULL) AS first, bool_or(again) FILTER (WHERE event IS NULL) AS again FROM r GROUP BY 1, 2)
+SELECT account, sweep::INTEGER AS sweep, CASE WHEN open IS NOT NULL THEN 'idle' WHEN first IS NOT NULL THEN 'capture' ELSE 'all_done' END AS action, CASE WHEN open IS NULL THEN first END AS source, coalesce(open IS NULL AND first IS NOT NULL AND again, false) AS resuming FROM o""")
+def next_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's account captures next, by a ledger made of events."""
+    k = F.col("event_id")
+    ledger = P.read(spark, sf_dir, "events").select(
+        k.alias("n"), F.col("user_id").cast("string").alias("account"), F.floor(k / 900).cast("int").alias("sweep"), P._pick(schemas.SOURCES, k % 7 % 4).alias("source"), P._pick(("begun", "done", "giveup"), k % 3).alias("event"), F.lit(0).cast("long").alias("captured"), k.alias("at"),
+    )
+    return sequencer.next_steps(ledger.select("account").distinct(), ledger, "start")
 
 
 @query("""WITH u AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'https://x.test/api/user/collect/item_list/?c=1' WHEN 1 THEN 'https://x.test/api/favorite/item_list/' WHEN 2 THEN 'https://x.test/api/post/item_list/?a' WHEN 3 THEN 'https://x.test/api/repost/item_list/' WHEN 4 THEN 'https://x.test/api/mix/item_list/' ELSE 'https://x.test/api/other' END AS url FROM events)
@@ -122,7 +153,7 @@ n AS (SELECT k.item_id, k.key, k.surface AS name, k.pos * 2 + CASE WHEN k.pos =
 d AS (SELECT item_id, key, name, min(o) AS o FROM n WHERE use GROUP BY 1, 2, 3)
 SELECT f.item_id, f.key, f.pos, k.type, k.surface, coalesce((SELECT string_agg(name, '|' ORDER BY o) FROM d WHERE d.item_id = f.item_id AND d.key = f.key AND d.name <> k.surface), '') AS aliases FROM f JOIN k ON k.item_id = f.item_id AND k.pos = f.pos""")
 def deduped_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(L.dedupe_mentions(P.mentions(spark, sf_dir).drop("item_pos"), exact=False), "aliases").select("item_id", "key", "pos", "type", "surface", "aliases")
+    return _joined(L.dedupe_mentions(P.mentions(spark, sf_dir).drop("item_pos")), "aliases").select("item_id", "key", "pos", "type", "surface", "aliases")
 
 
 _INDEX = f"""{P.MENTIONS}, k AS (SELECT *, type || ':' || name_key AS key FROM mm), per AS (SELECT key, item_id, min(item_pos) AS item_pos, min(pos) AS pos FROM k GROUP BY 1, 2),
@@ -132,12 +163,12 @@ head AS (SELECT key, type, surface FROM (SELECT key, type, surface, row_number()
 
 @query(f"WITH {_INDEX} SELECT ids.key, head.type, head.surface, ids.item_ids FROM ids JOIN head ON head.key = ids.key")
 def mention_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(L.mention_index(P.mentions(spark, sf_dir), exact=False), "item_ids")
+    return _joined(L.mention_index(P.mentions(spark, sf_dir)), "item_ids")
 
 
 @query(f"WITH {_INDEX} SELECT ids.key || ',' || head.type || ',' || head.surface || ',' || ids.item_ids AS value FROM ids JOIN head ON head.key = ids.key")
 def mentions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.mentions_csv(L.mention_index(P.mentions(spark, sf_dir), exact=False))
+    return sinks.mentions_csv(L.mention_index(P.mentions(spark, sf_dir)))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,7 +201,7 @@ def items_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vault_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _items(spark, sf_dir)
     rows = items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), F.posexplode("output.mentions").alias("pos", "m")).select("item_id", "item_pos", "pos", "m.type", "m.surface")
-    return sinks.vault(items, L.mention_index(rows, exact=False)).select("path")
+    return sinks.vault(items, L.mention_index(rows)).select("path")
 
 
 @query(f"WITH {_ITEMS} SELECT id FROM it WHERE lower(descr || ' ' || coalesce(author, '') || ' ' || replace(tags, '|', ' ')) LIKE '%urgent%' AND descr LIKE '%rush%'")
@@ -185,7 +216,7 @@ def resolve_item(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_INDEX} SELECT ids.key, head.surface, len(string_split(ids.item_ids, '|'))::INTEGER AS items FROM ids JOIN head ON head.key = ids.key WHERE head.type = 'book'")
 def list_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.list_by_type(L.mention_index(P.mentions(spark, sf_dir), exact=False), "book").select("key", "surface", F.size("item_ids").alias("items"))
+    return L.list_by_type(L.mention_index(P.mentions(spark, sf_dir)), "book").select("key", "surface", F.size("item_ids").alias("items"))
 
 
 @query(f"WITH {_ITEMS} SELECT id FROM it WHERE ct > (SELECT max(ct) FROM it) - 604800")
@@ -228,7 +259,7 @@ def open_contract_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.struct(F.lit("topic").alias("facet"), F.when(k % 10 == 0, "nowhere").otherwise("food").alias("value"), ev.alias("evidence"))).alias("facets"), F.array(F.struct(F.lit("s").alias("statement"), ev.alias("evidence"))).alias("claims"),
         F.array().cast("array<struct<schemaOrgType:string,slots:array<struct<name:string,value:string>>,steps:array<struct<`order`:int,text:string>>,evidence:array<struct<channel:string,assertion_mode:string,confidence:double,source_role:string,quote:string,t_start:double,t_end:double>>>>").alias("structured"),
     )
-    name = T.ascii_name(F.col("output.mentions")[0]["surface"])
+    name = T.normalize_name(F.col("output.mentions")[0]["surface"])
     found = F.array(F.struct(F.col("output.mentions")[0]["type"].alias("type"), name.alias("name_key"), (k % 3 == 0).alias("resolved"), F.when(k % 3 == 0, "Q1").alias("id"), F.lit(0.9).alias("confidence")))
     rec = _items(spark, sf_dir).select(
         "id", "sources", "desc", "createTime", "author", F.lit(None).cast("string").alias("authorName"), "url", F.lit("https://x.test/v.mp4").alias("playUrl"), F.lit(None).cast("string").alias("subtitleUrl"), F.lit(False).alias("isSlideshow"),
@@ -267,7 +298,7 @@ def jobs_after_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {P.JOBS} SELECT status, count(*) AS jobs FROM jobs GROUP BY status")
 def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.jobs(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("jobs"))
+    return L.status_counts(P.jobs(spark, sf_dir))
 
 
 _POSTERS = f"{_ITEMS}, ps AS (SELECT id FROM it WHERE k % 5 = 1), fa AS (SELECT id, (k % 4)::INTEGER AS failures FROM it WHERE k % 2 = 1)"
@@ -314,7 +345,7 @@ def incremental_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _grounding(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    mentions = linking.keyed(P.mentions(spark, sf_dir).select("item_id", "pos", "type", "surface"), exact=False)
+    mentions = linking.keyed(P.mentions(spark, sf_dir).select("item_id", "pos", "type", "surface"))
     handles = spark.createDataFrame([(t, "music" if t == "music_recording" else "general", 0) for t in schemas.TYPES if t != "place"], "type string, source string, priority int")
     part = P.read(spark, sf_dir, "part").groupBy("p_name").agg(F.array_sort(F.collect_list("p_partkey")).alias("keys")).where("p_name <> 'red bolt'")
     rows = part.select(F.explode(F.array(F.lit("music"), F.lit("general"))).alias("source"), F.col("p_name").alias("name_key"), F.posexplode("keys").alias("rank", "key")).select("source", "name_key", "rank", F.concat(F.lit("Q"), F.col("key")).alias("id"), F.col("name_key").alias("name"), ((F.col("key") * 13) % 120).cast("double").alias("score"))

@@ -49,7 +49,7 @@ curve AS (SELECT threshold, {_ratio('answered', 'n_gold')} AS coverage, {_ratio(
 
 @query(f"WITH {P.LINKS}, {_CURVE} SELECT * FROM curve")
 def risk_coverage_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grounding.risk_coverage(P.links(spark, sf_dir))
+    return grounding.risk_coverage(P.links(spark, sf_dir)).drop("here", "here_wrong")
 
 
 @query(f"""WITH {P.LINKS}, {_CURVE},
@@ -158,23 +158,21 @@ def _phi_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PARTS = f"i AS (SELECT item_id, {_PHI} FROM al GROUP BY item_id), parts AS (SELECT item_id, correct - 10.0::DOUBLE * (wrong_id + spurious_with_id + non_entity_with_id) AS top, CAST(correct + wrong_id + abstain + missed AS DOUBLE) AS den FROM i)"
 
 
-@query(f"""WITH {P.LINKS}, {_PARTS}, {_DRAWS.replace('{B}', '50')} st AS (SELECT b, {_ratio('sum(top)', 'sum(den)')} AS s FROM dr JOIN num USING (slot) GROUP BY b)
+@query(f"""WITH {P.LINKS}, {_PARTS}, {_DRAWS.replace('{B}', '2000')} st AS (SELECT b, {_ratio('sum(top)', 'sum(den)')} AS s FROM dr JOIN num USING (slot) GROUP BY b)
 SELECT round((SELECT {_ratio('sum(top)', 'sum(den)')} FROM parts), 9) AS point, round(quantile_cont(s, 0.025), 9) AS lo, round(quantile_cont(s, 0.975), 9) AS hi, (SELECT n FROM nn) AS n FROM st""")
 def cluster_bootstrap_phi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """50 resamples, as its SQL has, not the operator's 2000: lo and hi are rough."""
-    return rounded(B.cluster_bootstrap(_phi_parts(spark, sf_dir), "item_id", ("top", "den"), X.ratio(F.col("top"), F.col("den")), b=50), "point", "lo", "hi")
+    return rounded(B.cluster_bootstrap(_phi_parts(spark, sf_dir), "item_id", ("top", "den"), X.ratio(F.col("top"), F.col("den"))), "point", "lo", "hi")
 
 
 _PAIRED = "parts AS (SELECT item_id, count(*) FILTER (WHERE correct)::DOUBLE AS a, count(*) FILTER (WHERE correct AND conf >= 0.5)::DOUBLE AS c, count(*)::DOUBLE AS n0 FROM al GROUP BY item_id)"
 
 
-@query(f"""WITH {P.LINKS}, {_PAIRED}, {_DRAWS.replace('{B}', '40')} st AS (SELECT b, sum(a) / sum(n0) - sum(c) / sum(n0) AS d FROM dr JOIN num USING (slot) GROUP BY b)
+@query(f"""WITH {P.LINKS}, {_PAIRED}, {_DRAWS.replace('{B}', '2000')} st AS (SELECT b, sum(a) / sum(n0) - sum(c) / sum(n0) AS d FROM dr JOIN num USING (slot) GROUP BY b)
 SELECT round((SELECT sum(a) / sum(n0) - sum(c) / sum(n0) FROM parts), 9) AS delta, round(quantile_cont(d, 0.025), 9) AS lo, round(quantile_cont(d, 0.975), 9) AS hi,
-round(least(1.0::DOUBLE, 2 * least((1 + count(*) FILTER (WHERE d <= 0)) / CAST(41 AS DOUBLE), (1 + count(*) FILTER (WHERE d >= 0)) / CAST(41 AS DOUBLE))), 9) AS p_value FROM st""")
+round(least(1.0::DOUBLE, 2 * least((1 + count(*) FILTER (WHERE d <= 0)) / CAST(2001 AS DOUBLE), (1 + count(*) FILTER (WHERE d >= 0)) / CAST(2001 AS DOUBLE))), 9) AS p_value FROM st""")
 def paired_bootstrap_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """40 resamples, as its SQL has, not the operator's 2000: lo and hi are rough, and p_value is 2/41 at least."""
     parts = P.links(spark, sf_dir).groupBy("item_id").agg(F.count_if("correct").cast("double").alias("a"), F.count_if(F.col("correct") & (F.col("conf") >= 0.5)).cast("double").alias("c"), F.count(F.lit(1)).cast("double").alias("n0"))
-    return rounded(B.paired_bootstrap(parts, "item_id", ("a", "c", "n0"), F.col("a") / F.col("n0"), F.col("c") / F.col("n0"), b=40), "delta", "lo", "hi", "p_value")
+    return rounded(B.paired_bootstrap(parts, "item_id", ("a", "c", "n0"), F.col("a") / F.col("n0"), F.col("c") / F.col("n0")), "delta", "lo", "hi", "p_value")
 
 
 _CONF = "cf AS (SELECT axis, g, p, count(*) AS n FROM fl GROUP BY axis, g, p)"
@@ -214,9 +212,8 @@ def unknown_prediction_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, d.doc_id IS NOT NULL AS in_gold, l.doc_id IS NOT NULL AS in_pred
 FROM (SELECT doc_id FROM documents WHERE n_chars > 300) d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id""")
 def outer_item_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = P.read(spark, sf_dir, "documents").where("n_chars > 300").select("doc_id", F.lit(True).alias("g"))
-    both = gold.join(P.read(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("p")), "doc_id", "full_outer")
-    return both.select("doc_id", F.col("g").isNotNull().alias("in_gold"), F.col("p").isNotNull().alias("in_pred"))
+    gold = P.read(spark, sf_dir, "documents").where("n_chars > 300")
+    return A.outer_items(gold, P.read(spark, sf_dir, "labels"), "doc_id")
 
 
 @query(f"WITH RECURSIVE {P.HIERARCHY} SELECT DISTINCT id, ancestor FROM up")
@@ -288,22 +285,17 @@ gd AS (SELECT *, row_number() OVER (PARTITION BY item_id, type ORDER BY k) AS nt
 m AS (SELECT g.item_id, g.type, g.nth, p.k IS NOT NULL AS matched, (p.k IS NOT NULL AND p.k % 3 <> 0 AND p.d = g.d)::INT + (p.k IS NOT NULL AND p.pr = g.pr)::INT AS correct FROM gd g LEFT JOIN pd p ON p.item_id = g.item_id AND p.type = g.type AND p.nth = g.nth)"""
 
 
-def _exact_hits(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """Slot hits with the fuzzy rule switched off, which SQL lacks."""
-    return structured.slot_hits(gold, pred, fuzzy=101)
-
-
 @query(f"WITH {_SLOTS} SELECT item_id, type, nth::INTEGER AS nth, correct::BIGINT AS correct, 2::BIGINT AS total, correct / CAST(2 AS DOUBLE) AS accuracy, correct = 2 AS complete FROM m")
 def document_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred, docs = _documents(spark, sf_dir)
-    return structured.field_accuracy(docs, _exact_hits(gold, pred))
+    return structured.field_accuracy(docs, structured.slot_hits(gold, pred))
 
 
 @query(f"WITH {_SLOTS} SELECT type, count(*) AS docs, count(*) FILTER (WHERE matched) AS matched_docs, {_ratio('sum(correct)', '2 * count(*)')} AS field_accuracy, {_ratio('count(*) FILTER (WHERE correct = 2)', 'count(*)')} AS document_accuracy FROM m GROUP BY type")
 def structured_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     gold, pred, docs = _documents(spark, sf_dir)
     there = pred.select(*structured.KEY).distinct().withColumn("m", F.lit(1))
-    rows = structured.field_accuracy(docs, _exact_hits(gold, pred)).join(there, structured.KEY, "left")
+    rows = structured.field_accuracy(docs, structured.slot_hits(gold, pred)).join(there, structured.KEY, "left")
     return rows.groupBy("type").agg(F.count(F.lit(1)).alias("docs"), F.count("m").alias("matched_docs"), X.ratio(F.sum("correct"), F.sum("total")).alias("field_accuracy"), X.ratio(F.count_if("complete"), F.count(F.lit(1))).alias("document_accuracy"))
 
 

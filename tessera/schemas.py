@@ -1,5 +1,6 @@
 """Schemas of gold and prediction records, items, jobs and page arrivals, and the closed vocabularies."""
 
+# The fields of records, items and pages.
 GOLD = """item_id string,
 strata struct<has_vtt:boolean,is_slideshow:boolean,duration_tercile:int>,
 mentions array<struct<mention_id:string,surface:string,aliases:array<string>,type:string,gold_id:struct<authority:string,id:string>,nil:string,failed_queries:array<string>,kb_snapshot:struct<authority:string,retrieved:string>,hard_case:boolean,verification:struct<name:string,address:string,lat:double,lng:double,url:string>,notes:string>>,
@@ -23,12 +24,13 @@ facets array<struct<facet:string,value:string,evidence:array<{EVIDENCE}>>>,
 claims array<struct<statement:string,evidence:array<{EVIDENCE}>>>,
 structured array<struct<schemaOrgType:string,slots:array<struct<name:string,value:string>>,steps:array<struct<`order`:int,text:string>>,evidence:array<{EVIDENCE}>>>"""
 
-ITEM = """id string, sources array<string>, `desc` string, createTime long, author string, authorName string, url string, playUrl string,
-downloadUrl string, cover string, durationSec double, hasSubtitles boolean, subtitleUrl string, isSlideshow boolean,
-music struct<name:string,author:string>, hashtags array<string>,
-stats struct<plays:long,likes:long,comments:long,shares:long,collects:long>"""
-
-PAGE = f"source string, url string, hasMore string, cursor string, items array<struct<{ITEM.replace('id string', 'id:string', 1).replace(', ', ',').replace(' string', ':string').replace(' array<', ':array<').replace(' long', ':long').replace(' double', ':double').replace(' boolean', ':boolean').replace(' struct<', ':struct<').replace(chr(10), '')}>>"
+_ITEM_FIELDS = (
+    ("id", "string"), ("sources", "array<string>"), ("desc", "string"), ("createTime", "long"), ("author", "string"), ("authorName", "string"), ("url", "string"), ("playUrl", "string"),
+    ("downloadUrl", "string"), ("cover", "string"), ("durationSec", "double"), ("hasSubtitles", "boolean"), ("subtitleUrl", "string"), ("isSlideshow", "boolean"),
+    ("music", "struct<name:string,author:string>"), ("hashtags", "array<string>"), ("stats", "struct<plays:long,likes:long,comments:long,shares:long,collects:long>"),
+)
+ITEM = ", ".join(f"`{name}` {kind}" for name, kind in _ITEM_FIELDS)
+PAGE = f"source string, url string, hasMore string, cursor string, items array<struct<{','.join(f'`{name}`:{kind}' for name, kind in _ITEM_FIELDS)}>>"
 
 JOB = "id string, itemId string, status string, attempts int, nextAttemptAt long, lastError string"
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessera", **conf: str) -> SparkSession:
@@ -17,6 +20,17 @@ def session(name: str = "tessera", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while; what it was before comes back."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the session's Python workers, once a context; workers need not have it installed."""
     sc = spark.sparkContext
@@ -39,3 +53,10 @@ def shared_root(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return "/tmp/checkpoints"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read back: numbers given to rows stay theirs, and lineage ends there."""
+    path = f"{shared_root(df.sparkSession)}/library/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

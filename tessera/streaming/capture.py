@@ -1,10 +1,21 @@
-"""Capture as a stream: arrivals are merged idempotently, and a reducer per source decides when a capture is complete."""
+"""Capture as a stream: arrivals are merged idempotently, and a reducer per source tells when its capture has ended.
+
+The reducer reads a source's events in seq order: pages (count so far, has_more, cursor) and ticks, which say that no
+page came in time. What it keeps are running totals, so a batch of events is judged by cumulative columns:
+
+  captured  largest count of any page
+  moved     the page's count exceeds all before it, or the page is spared
+  spared    while resuming, before anything has grown, the first SPARED pages whose cursor is not the last one again
+  quiet     events since the last that moved
+  ended     the first page without more (done), or QUIET quiet events (giveup); later events change nothing
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import asdict, dataclass, replace
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,87 +23,91 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from tessera.operators import library
 
-STALLS, GRACE, FIRST_MS, MOST_MS = 8, 400, 1000, 60_000
-
-
-@dataclass(frozen=True)
-class Progress:
-    """How far a capture has come; the names of fields are the state's columns."""
-
-    last_count: int = 0
-    has_more: bool = True
-    stall: int = 0
-    status: str = "scrolling"
-    reason: str | None = None
-    updated_at: int = 0
-    grew: bool = False
-    last_cursor: str | None = None
-    grace: int = 0
-
-
-def backoff(stall: int) -> int:
-    return min(FIRST_MS * 2 ** (stall - 1), MOST_MS)
-
-
-def advance(s: Progress, now: int, page: tuple[int, bool, str | None] | None, resuming: bool = False) -> tuple[Progress, str, int | None]:
-    """State, action (scroll, wait, done, giveup) and ms to wait, after a page (count, has_more, cursor) or a tick (None).
-
-    Only a page that says there is no more ends a capture well. Growth clears the stall; anything else is one, and the
-    eighth in a row gives up with a reason. While resuming, pages without growth pass as progress until something grows,
-    a cursor repeats or the grace is used up. Ended captures stay as they are.
-    """
-    if s.status in ("done", "giveup"):
-        return s, s.status, None
-    s = replace(s, updated_at=now)
-    if page is not None:
-        count, more, at = page
-        if more is False:
-            return replace(s, last_count=max(s.last_count, count), has_more=False, stall=0, status="done", reason=None), "done", None
-        repeated = at is not None and at == s.last_cursor
-        s = replace(s, has_more=True, last_cursor=s.last_cursor if at is None else at)
-        if count > s.last_count:
-            return replace(s, last_count=count, stall=0, status="scrolling", reason=None, grew=True), "scroll", None
-        if resuming and not s.grew and not repeated and s.grace < GRACE:
-            return replace(s, stall=0, status="scrolling", reason=None, grace=s.grace + 1), "scroll", None
-    s = replace(s, stall=s.stall + 1)
-    if s.stall >= STALLS:
-        return replace(s, status="giveup", reason=f"no response after {s.stall} backoff cycles; {s.last_count} captured, more may remain"), "giveup", None
-    return replace(s, status="waiting", reason=None), "wait", backoff(s.stall)
-
-
-_STATE = "last_count long, has_more boolean, stall int, status string, reason string, updated_at long, grew boolean, last_cursor string, grace int"
-_OUT = "source string, seq long, action string, wait_ms long, status string, captured long, stall int, reason string"
+# Quiet events that end a capture, pages spared while resuming, first and longest wait in ms; actions and the statuses they leave.
+QUIET, SPARED, FIRST_MS, MOST_MS = 8, 400, 1000, 60_000
+STATUS = {"scroll": "scrolling", "wait": "waiting", "done": "done", "giveup": "giveup"}
+
+_OUT = "source string, seq long, action string, wait_ms long, status string, captured long, quiet int, reason string"
+
+
+class Totals(NamedTuple):
+    """What is known of a source from all its events; the state's columns."""
+
+    captured: int = 0
+    grown: bool = False
+    cursor: str | None = None
+    spared: int = 0
+    quiet: int = 0
+    ended: str | None = None
+
+
+_TOTALS = "captured long, grown boolean, cursor string, spared int, quiet int, ended string"
+
+
+def why(ended: str | None, captured: int) -> str | None:
+    return f"{QUIET} quiet events in a row after {captured} items, and no page said it was the last" if ended == "giveup" else None
+
+
+def judged(events: pd.DataFrame, known: Totals, resuming: bool = False) -> tuple[pd.DataFrame, Totals]:
+    """action, wait_ms, status, captured, quiet and reason of each event, in order, and the totals after all of them."""
+    page = events["kind"].to_numpy() == "page"
+    final = page & (events["has_more"] == False).to_numpy(dtype=bool)  # noqa: E712 - null means more
+    more = page & ~final
+    counts = np.where(page, pd.to_numeric(events["count"]).fillna(0), 0).astype(np.int64)
+    captured = np.maximum.accumulate(np.r_[known.captured, counts])
+    grown = more & (counts > captured[:-1])
+    grown_before = np.r_[known.grown, known.grown | np.logical_or.accumulate(grown)][:-1]
+    cursors = events["cursor"].where(more & events["cursor"].notna().to_numpy(), None)
+    cursor = pd.concat([pd.Series([known.cursor], dtype=object), cursors.astype(object)], ignore_index=True).ffill()
+    again = (cursors.notna() & (cursors.reset_index(drop=True) == cursor[:-1].reset_index(drop=True)).set_axis(cursors.index)).to_numpy()
+    fair = more & ~grown & ~grown_before & ~again & resuming
+    spared = known.spared + np.cumsum(fair)
+    moved = grown | (fair & (spared <= SPARED))
+    place = np.arange(1, len(events) + 1)
+    since = np.maximum.accumulate(np.where(moved, place, 0))
+    quiet = place - since + np.where(since == 0, known.quiet, 0)
+    action = np.select([final, moved, quiet >= QUIET], ["done", "scroll", "giveup"], "wait").astype(object)
+
+    over = np.flatnonzero(np.isin(action, ["done", "giveup"]))
+    end = -1 if known.ended else int(over[0]) if len(over) else len(events)
+    quiet = np.where(final, 0, quiet)
+    captured = captured[1:]
+    if end < len(events):  # all that comes after the end is as the end was
+        after = slice(end + 1, None)
+        action[after] = known.ended or action[end]
+        captured[after], quiet[after] = (known.captured, known.quiet) if known.ended else (captured[end], quiet[end])
+    wait = pd.array(np.minimum(FIRST_MS * 2.0 ** np.maximum(quiet - 1, 0), MOST_MS).astype(np.int64), "Int64")
+    wait[action != "wait"] = pd.NA
+    out = pd.DataFrame({"seq": events["seq"].to_numpy(), "action": action, "wait_ms": wait, "status": [STATUS[a] for a in action], "captured": captured, "quiet": quiet.astype(np.int32)})
+    out["reason"] = [why(a, c) for a, c in zip(action, captured, strict=True)]
+    ended = action[-1] if len(events) and action[-1] in ("done", "giveup") else known.ended
+    last = cursor.iloc[-1]
+    return out, Totals(int(captured[-1]), bool(known.grown or grown.any()), None if pd.isna(last) else last, int(min(spared[-1], SPARED)), int(quiet[-1]), ended) if len(events) else known
 
 
 class Completion(StatefulProcessor):
-    """Runs `advance` over a source's events (seq, now, kind page or tick, count, has_more, cursor) in seq order."""
+    """Judges a source's events batch by batch, with the totals of the batches before."""
 
     def __init__(self, resuming: bool = False):
         self.resuming = resuming
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", _STATE)
+        self.totals = handle.getValueState("totals", _TOTALS)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        events = pd.concat(list(rows)).sort_values("seq")
-        s = Progress(*self.state.get()) if self.state.exists() else Progress()
-        out = []
-        for e in events.itertuples():
-            cursor = None if pd.isna(e.cursor) else e.cursor
-            page = (int(e.count), bool(e.has_more), cursor) if e.kind == "page" else None
-            s, action, ms = advance(s, int(e.now), page, self.resuming)
-            out.append((key[0], int(e.seq), action, ms, s.status, s.last_count, s.stall, s.reason))
-        self.state.update(tuple(asdict(s).values()))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in _OUT.split(", ")])
-        frame["wait_ms"] = frame["wait_ms"].astype("Int64")
-        yield frame
+        events = pd.concat(list(rows)).sort_values("seq", ignore_index=True)
+        known = Totals(*self.totals.get()) if self.totals.exists() else Totals()
+        out, known = judged(events, known, self.resuming)
+        self.totals.update(tuple(known))
+        yield out.assign(source=key[0])[[c.split()[0] for c in _OUT.split(", ")]]
 
     def close(self) -> None:
         pass
 
 
 def completion(events: DataFrame, resuming: bool = False) -> DataFrame:
-    """Actions and states of a stream of events; needs the RocksDB state store."""
+    """Actions and statuses of a stream of events; needs the RocksDB state store. A source's events are one task's, as
+    they are judged in their order; a source is one capture, which people run."""
     return events.groupBy("source").transformWithStateInPandas(Completion(resuming), outputStructType=_OUT, outputMode="Append", timeMode="None")
 
 

@@ -31,7 +31,7 @@ def test_prompts_leave_out_what_is_unknown(spark):
     assert hints["h"] == {"artist": "x", "context": "c"} and hints["n"] is None
     cands = F.array(F.struct(F.lit("Dune").alias("name"), F.array(F.lit("film")).alias("meta")))
     prompt = spark.range(1).select(E.select_prompt(F.lit("dune"), F.lit("book"), F.lit(None).cast("map<string,string>"), cands)).first()[0]
-    assert "Context hints: (none)" in prompt and "  0. Dune — film" in prompt
+    assert "What the post says" not in prompt and "[0] Dune; film" in prompt
 
 
 def test_places_need_a_key():
