@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import json
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera import schemas
+from tessera.config import Settings
 from tessera.functions import gates
 from tessera.functions import scalars as X
+from tessera.operators.ranges import running
 
 # The prompt's version, the labels of its parts, and those of a progress line (below).
 PROMPT_VERSION = "extract@v1"
@@ -139,3 +144,68 @@ def entity_key(kind: Column, name: Column) -> Column:
     """type::name in lower case, the name's other characters than a-z and 0-9 as single spaces."""
     k = F.when(F.coalesce(kind, F.lit("")) == "", "other").otherwise(kind)
     return F.concat(F.trim(F.lower(k)), F.lit("::"), F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", " ")))
+
+
+# --- requests ---
+
+# Fixed value: keywords of a JSON schema that a managed model's response schema may not have.
+_NO_KEYWORDS = ("additionalProperties", "$schema", "$id")
+
+
+def response_schema(schema: object) -> object:
+    """A JSON schema without the keywords that a response schema may not have, at any depth."""
+    if isinstance(schema, dict):
+        return {k: response_schema(v) for k, v in schema.items() if k not in _NO_KEYWORDS}
+    return [response_schema(v) for v in schema] if isinstance(schema, list) else schema
+
+
+def managed_request(prompt: Column, media: Column, schema: dict) -> Column:
+    """JSON of a managed model's request: media (array of mimeType, data; may be null) before the prompt, temperature 0."""
+    clip = F.array().cast("array<struct<inlineData:struct<mimeType:string,data:string>,text:string>>")
+    parts = F.concat(F.coalesce(F.transform(media, lambda m: F.struct(F.struct(m["mimeType"].alias("mimeType"), m["data"].alias("data")).alias("inlineData"), F.lit(None).cast("string").alias("text"))), clip), F.array(F.struct(F.lit(None).cast("struct<mimeType:string,data:string>").alias("inlineData"), prompt.alias("text"))))
+    contents = F.to_json(F.array(F.struct(parts.alias("parts"))))
+    config = {"temperature": 0, "responseMimeType": "application/json", "responseSchema": response_schema(schema)}
+    return F.concat(F.lit('{"contents":'), contents, F.lit(f',"generationConfig":{json.dumps(config, separators=(",", ":"))}}}'))
+
+
+def local_request(model: Column, prompt: Column, images: Column, schema: dict) -> Column:
+    """JSON of a local chat request: one user message with its images, the reply held to the schema, no streaming."""
+    message = F.to_json(F.array(F.struct(F.lit("user").alias("role"), prompt.alias("content"), F.coalesce(images, F.array().cast("array<string>")).alias("images"))))
+    held = json.dumps(response_schema(schema), separators=(",", ":"))
+    return F.concat(F.lit('{"model":'), F.to_json(F.array(model)).substr(F.lit(2), F.length(F.to_json(F.array(model))) - 2), F.lit(f',"stream":false,"format":{held},"messages":'), message, F.lit("}"))
+
+
+def frames(is_slideshow: Column, play_url: Column, decoded: Column, cover: Column) -> Column:
+    """The stills a model sees: the video's (decoded, if any), or for a slideshow, no video or an undecodable one the cover;
+    none without a cover, which is a media_fetch_failed."""
+    none = F.array().cast("array<string>")
+    still = F.when(F.coalesce(cover, F.lit("")) != "", F.array(cover)).otherwise(none)
+    video = ~F.coalesce(is_slideshow, F.lit(False)) & (F.coalesce(play_url, F.lit("")) != "") & (F.size(F.coalesce(decoded, none)) > 0)
+    return F.when(video, decoded).otherwise(still)
+
+
+def analyzed(items: DataFrame, config: Settings, model: Callable[[Column, Column], Column]) -> DataFrame:
+    """items (has_subtitles, play_url, prompt, ...) with the lane and ingestion used, the reply of `model` (prompt and
+    ingestion to text), error and output. The lane refuses before a model is asked; what was used is told, not guessed."""
+    lane, ingestion = F.lit(config.engineLane), route(F.lit(config.ingestion), F.lit(config.engineLane), F.lit(config.escalateNative), F.col("has_subtitles"))
+    rows = items.withColumns({"lane": lane, "ingestion": ingestion}).withColumn("refused", lane_error(F.col("lane"), F.col("ingestion"), F.coalesce("play_url", F.lit("")) != ""))
+    rows = rows.withColumn("reply", F.when(F.col("refused").isNull(), model(F.col("prompt"), F.col("ingestion"))))
+    rows = rows.withColumn("parsed", parsed_reply(F.col("reply")))
+    error = F.coalesce("refused", reply_error(F.nullif(F.col("reply"), F.lit("")), F.col("parsed")))
+    return rows.withColumn("error", error).withColumn("output", F.when(F.col("error").isNull(), F.col("parsed"))).drop("refused", "parsed")
+
+
+def batched(prompts: DataFrame, size: int, order: str = "id") -> DataFrame:
+    """batch, ids and one prompt for each `size` prompts (id, prompt) in order, every one under its number from 0."""
+    rows = running(prompts, F.col(order)).withColumn("batch", F.floor(F.col("row_no") / size))
+    of = rows.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("row_no", "id", "prompt"))).alias("p"))
+    return of.select("batch", F.transform("p", lambda x: x["id"]).alias("ids"), F.array_join(F.transform("p", lambda x, i: F.concat(F.lit("### "), i.cast("string"), F.lit("\n"), x["prompt"])), "\n\n").alias("prompt"))
+
+
+def replayed(clips: DataFrame, frozen: DataFrame) -> DataFrame:
+    """clip_id, output and error of clips: the extractor's output of frozen results (clip_id, value as JSON) and nothing
+    else of them, or why there is none."""
+    rows = clips.join(frozen.select(F.col("clip_id").alias("frozen_id"), F.try_parse_json("value").alias("v")), clips["clip_id"] == F.col("frozen_id"), "left")
+    output = F.try_variant_get("v", "$.extractorOutput", "variant")
+    error = F.when(F.coalesce("clip_id", F.lit("")) == "", "no clip id").when(F.col("frozen_id").isNull(), "no frozen result").when(output.isNull(), "the frozen result has no output")
+    return rows.select("clip_id", F.when(error.isNull(), F.to_json(output)).alias("output"), error.alias("error"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as X
 from tessera.functions import text as T
+from tessera.operators.ranges import running
 
 MAX_ATTEMPTS, MAX_POSTER_FAILURES, LIVE_TILES = 5, 3, 60
 
@@ -166,9 +167,54 @@ def tiles_to_evict(tiles: DataFrame, live: int = LIVE_TILES) -> DataFrame:
     return tiles.crossJoin(F.broadcast(newest)).where((F.col("n") == live) & (F.col("seq") < F.col("from"))).drop("from", "n")
 
 
+def paced(calls: DataFrame, interval_ms: int, *by: str) -> DataFrame:
+    """calls (seq, asked_ms) with started_ms: one after another in order, `interval_ms` apart at least, whether they
+    succeed or not. The start of the i-th is the latest of (asked j + (i - j) * interval) over all j up to it."""
+    w = Window.partitionBy(*by).orderBy("seq")
+    i = F.row_number().over(w)
+    rows = calls.withColumn("call_no", i)
+    return rows.withColumn("started_ms", F.max(F.col("asked_ms") - F.col("call_no") * interval_ms).over(w) + F.col("call_no") * interval_ms).drop("call_no")
+
+
+def to_revive(jobs: DataFrame, posters: DataFrame, steps: DataFrame, now: Column) -> DataFrame:
+    """(what, id): all that a wake-up starts again: due or interrupted jobs, posters left to fetch, sources under way
+    (steps of a restart, see the sequencer)."""
+    stuck = F.col("status").isin("analyzing", "grounding") | ((F.col("status") == "pending") & (F.col("nextAttemptAt") <= now))
+    rows = jobs.where(stuck).select(F.lit("job").alias("what"), "id")
+    rows = rows.unionByName(posters.select(F.lit("poster").alias("what"), "id"))
+    return rows.unionByName(steps.where("action = 'capture'").select(F.lit("capture").alias("what"), F.concat_ws(":", "account", "source").alias("id")))
+
+
+def migrated(library: DataFrame, legacy: DataFrame | None, scalars: Sequence[str], tags: str = "sources") -> DataFrame:
+    """The library with items of an old list folded in, once: without a list it is as it was, and a second run changes
+    nothing, as newer values of the library win."""
+    if legacy is None:
+        return library
+    old = well_formed(legacy).withColumn("from_library", F.lit(0)).unionByName(library.withColumn("from_library", F.lit(1)), allowMissingColumns=True)
+    return merge(old, scalars, "from_library", tags).select("id", *scalars, tags)
+
+
+def source_states(board: DataFrame) -> DataFrame:
+    """A line a source of each account: label and state, from the sequencer's board (event, captured)."""
+    ended = F.col("event").isin("done", "giveup")
+    label = F.when(ended, F.concat(F.when(F.col("event") == "giveup", "partial").otherwise("done"), F.lit(" · "), F.coalesce("captured", F.lit(0)).cast("string"))).when(F.col("event") == "begun", "capturing…").otherwise("pending")
+    state = F.when(ended, F.col("event")).when(F.col("event") == "begun", "current").otherwise("pending")
+    return board.select("account", "source", "place", label.alias("label"), state.alias("state"))
+
+
 # --- sync ---
 
 
+def pushed(log: DataFrame, changes: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Rows to append to a log (key, rev, device_id, deleted, seq) for changes (key, device_id, deleted): seq goes on from
+    the log's last, in order, and rev from the key's last."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("last_seq"))
+    revs = log.groupBy("key").agg(F.max("rev").alias("last_rev"))
+    numbered = running(changes, F.struct(*order)).crossJoin(F.broadcast(last)).join(revs, "key", "left")
+    nth = F.row_number().over(Window.partitionBy("key").orderBy("row_no"))
+    return numbered.select("key", (F.coalesce("last_rev", F.lit(0)) + nth).cast("long").alias("rev"), "device_id", "deleted", (F.col("last_seq") + F.col("row_no") + 1).cast("long").alias("seq"))
+
+
 def last_writer(*logs: DataFrame) -> DataFrame:
     """One row a key: the highest (rev, device_id) of all logs, tombstones included."""
     rows = logs[0]

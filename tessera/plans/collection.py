@@ -249,9 +249,8 @@ def export_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _items(spark, sf_dir).select("id", X.iso_utc(F.col("createTime")).alias("created_at"), X.save_kind(F.col("sources")[0]).alias("save_kind"), X.authority(kind).alias("authority"), F.substring(F.trim("desc"), 1, 500).alias("context"))
 
 
-@query()
-def open_contract_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Valid and invalid counts of items exported under the open contract; the gate has no SQL."""
+def _open_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items of the open contract made of orders; every tenth has a facet value that is not in the vocabulary."""
     k = F.col("pos")
     ev = F.array(F.struct(F.lit("VERBAL_TEXT").alias("channel"), F.lit("STATED").alias("assertion_mode"), F.lit(0.8).alias("confidence"), F.lit(None).cast("string").alias("source_role"), F.lit("q").alias("quote"), F.lit(1.0).alias("t_start"), F.when(k % 2 == 0, 2.5).alias("t_end")))
     out = F.struct(
@@ -267,7 +266,27 @@ def open_contract_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2026-01-01T00:00:00.000Z").alias("updatedAt"), F.lit(None).cast("string").alias("posterRef"), F.lit("m").alias("model"), F.lit("p1").alias("promptVersion"), out.alias("output"), found.alias("groundings"), F.array().cast("array<string>").alias("regroundPending"),
     )
     ref = F.struct(F.lit("m0").alias("model"), F.lit("v").alias("version"), F.lit("p").alias("prompt"), F.lit("r").alias("run"))
-    return sinks.export_report(sinks.open_items(rec, F.lit("2026-01-01T00:00:00.000Z"), ref))
+    return sinks.open_items(rec, F.lit("2026-01-01T00:00:00.000Z"), ref)
+
+
+@query(f"WITH {_ITEMS} SELECT count(*) FILTER (WHERE k % 10 <> 0) AS valid, count(*) FILTER (WHERE k % 10 = 0) AS invalid FROM it")
+def open_contract_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.export_report(_open_items(spark, sf_dir))
+
+
+@query(f"""WITH {_ITEMS} SELECT id, url AS permalink, '@' || author AS handle, CASE WHEN k % 5 = 0 THEN 'order ' || prio || ', "rush"' ELSE descr END AS body, CASE src[1] WHEN 'posts' THEN 'upload' ELSE src[1] END AS save_kind, CASE WHEN k % 3 <> 0 THEN k END AS views, 'rendition' AS asset_role,
+  'named_entity concept claim facet' AS kinds, 't=1,2.5' AS span, CASE WHEN k % 2 = 0 THEN true ELSE false END AS has_span, type || ':' || prio AS mention, CASE WHEN k % 3 = 0 THEN 'Q1' END AS external_id, k % 3 <> 0 AS nil, 'STATED' AS mode, 'm' AS model FROM it""")
+def open_item_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of the exported JSON: identity, creator, saves, assets, metrics, extractions in order, grounding, provenance."""
+    v = F.try_parse_json("value")
+    get = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    kinds = F.array_join(F.transform(get("$.extractions", "array<variant>"), lambda x: F.try_variant_get(x, "$.kind", "string")), " ")
+    span = get("$.extractions[0].evidence[0].selector.value")
+    return _open_items(spark, sf_dir).select("id", v.alias("v")).select(
+        "id", get("$.identity.permalink").alias("permalink"), get("$.creator.handle").alias("handle"), get("$.body").alias("body"), get("$.saves[0].sources[0].kind").alias("save_kind"), get("$.metrics[0].views", "long").alias("views"), get("$.assets[0].role").alias("asset_role"),
+        kinds.alias("kinds"), F.lit("t=1,2.5").alias("span"), (F.coalesce(span, F.lit("")) == "t=1,2.5").alias("has_span"), F.concat(get("$.extractions[0].type"), F.lit(":"), get("$.extractions[0].surface")).alias("mention"), get("$.extractions[0].grounding.externalId").alias("external_id"),
+        get("$.extractions[0].grounding.nil", "boolean").alias("nil"), get("$.extractions[0].rollup.assertion_mode").alias("mode"), get("$.extractions[0].evidence[0].extractor_ref.model").alias("model"),
+    )
 
 
 @query(f"""WITH {P.JOBS}, r AS (SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey % 2 = 0) SELECT r.id, r.id AS "itemId", 'pending' AS status, 0 AS attempts, 1000::BIGINT AS "nextAttemptAt" FROM r WHERE NOT EXISTS (SELECT 1 FROM jobs WHERE jobs."itemId" = r.id)""")
