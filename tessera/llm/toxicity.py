@@ -36,6 +36,8 @@ from . import learning as L
 
 #: Bound of the labelled rows used, features kept, labelled texts a feature needs, table size, strengths and threshold.
 MOST_LABELS, FEATURES, LEAST, REMEMBERED, RIDGE, COUNTERFACTUAL, FLAG = 24_000, 8_000, 3, 200_000, 1e-3, 1.0, 0.3
+#: Passes over the sample, texts to a step, length of a step.
+EPOCHS, BATCH, RATE = 20, 64, 0.02
 
 # Names of identity groups by class; terms of a class stand in for one another.
 IDENTITY_TERMS = {
@@ -146,7 +148,7 @@ def _encoder(index: dict[int, int], others: dict[bytes, list[bytes]]):
             rows, swaps = [], []
             for text in texts:
                 words = distinct_words(text)
-                rows.append(np.array(sorted(i for w in words for i in of(w)), dtype=np.int32).tobytes())
+                rows.append(np.array(sorted(i for w in words for i in of(w)), dtype=np.uint16).tobytes())  # FEATURES fit
                 swaps.append([v.tobytes() for v in swap_changes(words, of, others)])
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(rows, pa.binary()), pa.array(swaps, pa.list_(pa.binary()))], names=["y", "features", "swaps"])
 
@@ -186,27 +188,53 @@ class Model:
         return L.calibrated(self.raw(texts), self.knots)
 
 
-def descend(x: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], size: int, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL, steps: int = 200) -> tuple[np.ndarray, float]:
-    """Weights and intercept by gradient steps with momentum (Adam) on loss + ridge + mean squared counterfactual change."""
-    row = np.repeat(np.arange(len(x)), [len(v) for v in x])
-    col = np.concatenate(x) if len(row) else np.empty(0, dtype=np.int32)
-    srow = np.repeat(np.arange(len(swaps)), [len(v) for v in swaps])
-    scol = np.concatenate(swaps).astype(np.int64) if len(srow) else np.empty(0, dtype=np.int64)
-    sign, scol = np.sign(scol), np.abs(scol) - 1
-    w, bias = np.zeros(size), float(np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
-    m, v = np.zeros(size + 1), np.zeros(size + 1)
-    for t in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col], minlength=len(x)) + bias, -30, 30)))
-        error = (p - y) / len(y)
-        g = np.bincount(col, weights=error[row], minlength=size) + ridge * w
-        if len(scol):
-            change = np.bincount(srow, weights=sign * w[scol], minlength=len(swaps))
-            g += 2 * counterfactual * np.bincount(scol, weights=sign * change[srow], minlength=size) / len(swaps)
-        g = np.append(g, error.sum())
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        w, bias = w - step[:-1], bias - step[-1]
-    return w, bias
+class Rows:
+    """Feature numbers of texts or signed ones of swaps, each once with how often it occurs, in three flat arrays."""
+
+    def __init__(self, x: list[np.ndarray]):
+        each = [np.unique(v, return_counts=True) for v in x]
+        self.sizes = np.array([len(v) for v, _ in each], dtype=np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.column = np.concatenate([v.astype(np.int32) for v, _ in each]) if each else np.empty(0, np.int32)
+        self.times = np.concatenate([n.astype(np.float32) for _, n in each]) if each else np.empty(0, np.float32)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row from 0, column, times) of all entries of these rows."""
+        n = self.sizes[rows]
+        row = np.repeat(np.arange(len(rows)), n)
+        at = np.repeat(self.first[rows], n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        return row, self.column[at], self.times[at]
+
+
+def descend(x: list[np.ndarray], y: np.ndarray, swaps: list[np.ndarray], size: int, ridge: float = RIDGE, counterfactual: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+    """Weights and intercept by gradient steps with momentum (Adam) on loss + ridge + mean squared counterfactual change.
+
+    EPOCHS passes over texts and swaps in an order that a seed fixes, BATCH texts a step (and as large a share of the
+    swaps); the result is the mean of the later half of the steps.
+    """
+    texts, swapped, rng = Rows(x), Rows(swaps), np.random.default_rng(0)
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    w[-1] = np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6))
+    parts = -(-len(x) // BATCH)
+    total, kept, t = np.zeros(size + 1), 0, 0
+    for _ in range(EPOCHS):
+        for own, pairs in zip(np.array_split(rng.permutation(len(x)), parts), np.array_split(rng.permutation(len(swaps)), parts), strict=True):
+            row, col, times = texts.take(own)
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=w[col] * times, minlength=len(own)) + w[-1], -30, 30)))
+            error = (p - y[own]) / len(own)
+            g = np.append(np.bincount(col, weights=error[row] * times, minlength=size) + ridge * w[:-1], error.sum())
+            if len(pairs):
+                row, col, times = swapped.take(pairs)
+                sign, col = np.sign(col) * times, np.abs(col) - 1
+                change = np.bincount(row, weights=sign * w[col], minlength=len(pairs))
+                g[:-1] += 2 * counterfactual * np.bincount(col, weights=sign * change[row], minlength=size) / len(pairs)
+            t += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - RATE * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
+            if 2 * t > EPOCHS * parts:
+                total, kept = total + w, kept + 1
+    w = total / max(kept, 1)
+    return w[:-1], float(w[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: int = MOST_LABELS, terms: dict[str, list[str]] = IDENTITY_TERMS, counterfactual: float = COUNTERFACTUAL) -> Model:
@@ -224,7 +252,7 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 4, rest: int = 2, most: i
     index = {f: i for i, f in enumerate(kept)}
     rows = sample.mapInArrow(_encoder(index, others_of(terms)), "y double, features binary, swaps array<binary>").toPandas()  # of at most `most` rows
     rows = rows.sort_values(["y", "features"], kind="stable").reset_index(drop=True)  # the same order in every run
-    x = [np.frombuffer(v, np.int32) for v in rows["features"]]
+    x = [np.frombuffer(v, np.uint16) for v in rows["features"]]
     y = rows["y"].to_numpy()
     swaps = [[np.frombuffer(v, np.int32) for v in own] for own in rows["swaps"]]
 
