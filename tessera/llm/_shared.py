@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Iterator
@@ -88,18 +89,27 @@ def id_text(column: str = "doc_id") -> Column:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: int, most: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of the batches with at most about `most` bytes in the given binary column, with that column as a list."""
+    """Slices of the batches with at most about `most` bytes in the given column of bytes or text, with that column as a
+    list of bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
         col = batch.column(column)
+        col = col if pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type) else as_bytes(col)
         sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0), dtype=np.int64)
         at = np.searchsorted(np.cumsum(sizes) - sizes, np.arange(0, sizes.sum() + 1, most))
         cuts = np.unique(np.concatenate([at, [0, batch.num_rows]]))
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            part = batch.slice(int(lo), int(hi - lo))
-            yield part, [x or b"" for x in part.column(column).to_pylist()]
+            yield batch.slice(int(lo), int(hi - lo)), [x or b"" for x in col.slice(int(lo), int(hi - lo)).to_pylist()]
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a task has freed goes back to the system: workers live on, and what they hold counts for the executor."""
     pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+    if trim:
+        trim(0)
 
 
 def count_by_partition(df: DataFrame) -> int:

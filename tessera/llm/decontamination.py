@@ -33,8 +33,8 @@ from . import _shared as S
 N, RARE, SEED_SHARE = 3, 50, 0.75
 THRESHOLD, PASSAGE, SHORT = 0.5, 40, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
-#: Item words broadcast at once.
-ITEM_WORDS = 4_000_000
+#: Item words broadcast at once, and bytes of texts looked through at once.
+ITEM_WORDS, BLOCK = 4_000_000, 1 << 20
 
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -205,7 +205,7 @@ def _counts(docs: DataFrame, held, n_grams: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, total = held.value, np.zeros(n_grams, dtype=np.int64)
-        for _, texts in S.blocks(batches, 0):
+        for _, texts in S.blocks(batches, 0, BLOCK):
             ids, starts = items.line_up(texts)
             at, grams = items.hits(ids)
             once = np.unique((np.searchsorted(starts, at, "right") - 1) * n_grams + grams)
@@ -239,7 +239,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float =
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             items, wanted = held.value
-            for part, texts in S.blocks(batches, 1):
+            for part, texts in S.blocks(batches, 1, BLOCK):
                 doc_ids, rows = part.column(0).to_pylist(), []
                 for doc_id, found in zip(doc_ids, pairs_of(items, wanted, texts, threshold), strict=True):
                     rows += [(doc_id, items.names[k], score / (MATCH * len(items.words[k])), a, b - 1) for k, score, a, b in found]
@@ -258,12 +258,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold:
 
         def run(batches: Iterator[pa.RecordBatch], held=held, column=column) -> Iterator[pa.RecordBatch]:
             items, wanted = held.value
-            for batch in batches:
-                clean = []
-                for at in range(0, batch.num_rows, 256):
-                    texts = [t or b"" for t in S.as_bytes(batch.column(column)).slice(at, 256).to_pylist()]
-                    clean += [not found for found in pairs_of(items, wanted, texts, threshold)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            for part, texts in S.blocks(batches, column, BLOCK):
+                yield part.filter(pa.array([not found for found in pairs_of(items, wanted, texts, threshold)], pa.bool_()))
 
         kept = kept.mapInArrow(run, docs.schema)
     return kept

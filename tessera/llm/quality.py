@@ -133,11 +133,8 @@ def keep_good(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFram
     column = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                texts = S.as_bytes(batch.column(column))
-                scores = np.concatenate([model.score([x or b"" for x in texts.slice(at, 256).to_pylist()]) for at in range(0, len(texts), 256)])
-                yield batch.filter(pa.array(scores >= accept))
+        for part, texts in S.blocks(batches, column, 1 << 20):
+            yield part.filter(pa.array(model.score(texts) >= accept))
 
     return S.small_batches(docs).mapInArrow(run, docs.schema)
 

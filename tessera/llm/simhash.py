@@ -140,7 +140,7 @@ def _emitter(radius: int, depth: int, lo: int, hi: int, group_bits: int, block:
                 offsets = np.r_[0, ends[some]].astype(np.int32) * 8
                 binary = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets), pa.py_buffer(words)])
                 yield pa.RecordBatch.from_arrays([pa.array((some + lo) >> group_bits), pa.array(some + lo), binary], names=["grp", "bucket", "words"])
-        pa.default_memory_pool().release_unused()
+        S.give_back()
 
     return run
 
@@ -199,6 +199,8 @@ def _linker(radius: int, depth: int):
         a, b = collisions(words, masks[(np.concatenate(packed) & _MASK).astype(np.int64)])
         near = bits_apart(a, b) <= 2 * radius  # always, by construction
         a, b = forest(a[near], b[near]) if len(a) else (a, b)
+        del words, packed
+        S.give_back()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     return run
