@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera import __main__ as cli
 from tessera.functions import gates
+from tessera.sources import sinks
 
 
 def errors(spark, gate, *records):
@@ -92,6 +93,13 @@ def test_shapes(spark):
         gates.shape_errors(F.lit(None), "elsewhere")
 
 
+def test_export_counts_families_too(spark):
+    family = lambda last: ITEM | {"children": [{"order": 0, "post": last}]}
+    items = [ITEM, ITEM | {"saves": []}, family(ITEM), family(ITEM | {"mediaKind": "tape"})]
+    rows = spark.createDataFrame([(str(i), json.dumps(x)) for i, x in enumerate(items)] + [("9", "no json")], "id string, value string")
+    assert tuple(sinks.export_report(rows).first()) == (2, 3) and tuple(sinks.export_report(rows.limit(2)).first()) == (1, 1)
+
+
 def test_check_tells_valid_and_invalid_files_apart(spark, tmp_path):
     files = {"valid/a.json": ITEM, "valid/b.json": ITEM | {"children": [{"order": 0, "post": ITEM}]}, "invalid/c.json": ITEM | {"saves": []}, "invalid/d.json": ITEM, "invalid/e.json": None}
     for name, item in files.items():
