@@ -58,8 +58,8 @@ def well_formed(arrivals: DataFrame) -> DataFrame:
     return arrivals.where("id is not null and id <> ''")
 
 
-def normalize_items(raw: DataFrame, source: Column) -> DataFrame:
-    """Library items from raw page items (a variant column `raw`); items without an id go."""
+def normalize_items(raw: DataFrame, source: Column, *more: str) -> DataFrame:
+    """Library items from raw page items (a variant column `raw`), with further columns of it; items without an id go."""
     v = F.col("raw")
     g = lambda path, kind="string": F.try_variant_get(v, path, kind)
     author, ident = F.coalesce(g("$.author.uniqueId"), g("$.author.unique_id")), F.coalesce(g("$.id"), g("$.video.id"))
@@ -76,7 +76,7 @@ def normalize_items(raw: DataFrame, source: Column) -> DataFrame:
         F.coalesce(g("$.video.playAddr"), g("$.video.downloadAddr")).alias("playUrl"), g("$.video.downloadAddr").alias("downloadUrl"), F.coalesce(g("$.video.cover"), g("$.video.originCover")).alias("cover"),
         g("$.video.duration", "double").alias("durationSec"), (F.size(subs) > 0).alias("hasSubtitles"), F.try_variant_get(F.coalesce(english, F.get(subs, 0)), "$.Url", "string").alias("subtitleUrl"),
         g("$.imagePost", "variant").isNotNull().alias("isSlideshow"), music.alias("music"), tags.alias("hashtags"),
-        F.struct(*[stat(k).alias(n) for k, n in (("playCount", "plays"), ("diggCount", "likes"), ("commentCount", "comments"), ("shareCount", "shares"), ("collectCount", "collects"))]).alias("stats"),
+        F.struct(*[stat(k).alias(n) for k, n in (("playCount", "plays"), ("diggCount", "likes"), ("commentCount", "comments"), ("shareCount", "shares"), ("collectCount", "collects"))]).alias("stats"), *more,
     )
     return well_formed(out)
 

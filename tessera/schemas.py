@@ -24,13 +24,13 @@ facets array<struct<facet:string,value:string,evidence:array<{EVIDENCE}>>>,
 claims array<struct<statement:string,evidence:array<{EVIDENCE}>>>,
 structured array<struct<schemaOrgType:string,slots:array<struct<name:string,value:string>>,steps:array<struct<`order`:int,text:string>>,evidence:array<{EVIDENCE}>>>"""
 
-_ITEM_FIELDS = (
+ITEM_FIELDS = (
     ("id", "string"), ("sources", "array<string>"), ("desc", "string"), ("createTime", "long"), ("author", "string"), ("authorName", "string"), ("url", "string"), ("playUrl", "string"),
     ("downloadUrl", "string"), ("cover", "string"), ("durationSec", "double"), ("hasSubtitles", "boolean"), ("subtitleUrl", "string"), ("isSlideshow", "boolean"),
     ("music", "struct<name:string,author:string>"), ("hashtags", "array<string>"), ("stats", "struct<plays:long,likes:long,comments:long,shares:long,collects:long>"),
 )
-ITEM = ", ".join(f"`{name}` {kind}" for name, kind in _ITEM_FIELDS)
-PAGE = f"source string, url string, hasMore string, cursor string, items array<struct<{','.join(f'`{name}`:{kind}' for name, kind in _ITEM_FIELDS)}>>"
+ITEM = ", ".join(f"`{name}` {kind}" for name, kind in ITEM_FIELDS)
+PAGE = f"source string, url string, hasMore string, cursor string, items array<struct<{','.join(f'`{name}`:{kind}' for name, kind in ITEM_FIELDS)}>>"
 
 JOB = "id string, itemId string, status string, attempts int, nextAttemptAt long, lastError string"
 

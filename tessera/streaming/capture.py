@@ -117,34 +117,59 @@ def drives(expected: Column, arrival: Column) -> Column:
 
 
 class LibraryTable:
-    """A keyed Parquet table with one folder a version; a batch writes its own version, so a replay overwrites it."""
+    """A keyed Parquet table in buckets of ids: path/version=<batch>/bucket=<b>. A batch writes the buckets that its ids
+    are in, and nothing else; a bucket is what its newest version holds. A replayed batch reads what was before it and
+    overwrites its own version; versions that a replay can no longer need are deleted."""
 
-    def __init__(self, spark: SparkSession, path: str, scalars: Sequence[str], tags: str = "sources", order: str = "seq"):
-        self.spark, self.path, self.scalars, self.tags, self.order = spark, path.rstrip("/"), list(scalars), tags, order
+    def __init__(self, spark: SparkSession, path: str, scalars: Sequence[str], tags: str = "sources", order: str = "seq", buckets: int = 16):
+        self.spark, self.path, self.scalars, self.tags, self.order, self.buckets = spark, path.rstrip("/"), list(scalars), tags, order, buckets
 
-    def _folders(self) -> list[int]:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
+    def _listed(self, folder: str, key: str) -> list[int]:
+        """Values of key in the names key=<value> of the folder's folders, ascending."""
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(p):
-            return []
-        done = [s.getPath() for s in fs.listStatus(p) if s.isDirectory()]
-        return sorted(int(d.getName().split("=")[1]) for d in done if fs.exists(jvm.org.apache.hadoop.fs.Path(d, "_SUCCESS")))
+        names = [s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory()] if fs.exists(p) else []
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(f"{key}="))
+
+    def _done(self, version: int) -> bool:
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/version={version}/_SUCCESS")
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+    def layout(self, before: int | None = None) -> dict[int, str]:
+        """The folder of each bucket's newest version, or of the newest before a batch."""
+        found = {}
+        for v in self._listed(self.path, "version"):
+            if (before is None or v < before) and self._done(v):
+                found |= {b: f"{self.path}/version={v}/bucket={b}" for b in self._listed(f"{self.path}/version={v}", "bucket")}
+        return found
 
     def read(self, before: int | None = None) -> DataFrame | None:
-        """The newest version, or the newest before a batch."""
-        versions = [v for v in self._folders() if before is None or v < before]
-        return self.spark.read.parquet(f"{self.path}/version={versions[-1]}") if versions else None
+        folders = self.layout(before)
+        return self.spark.read.parquet(*folders.values()) if folders else None
+
+    def last_version(self) -> int:
+        return max((v for v in self._listed(self.path, "version") if self._done(v)), default=-1)
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
-        """For foreachBatch: the version before this batch, with the batch merged in."""
+        """For foreachBatch: the batch merged into the buckets that it touches."""
+        bucket = F.pmod(F.xxhash64("id"), F.lit(self.buckets)).cast("int")
         rows = library.well_formed(batch).select("id", self.order, self.tags, *self.scalars)
-        old = self.read(batch_id)
-        if old is None:
-            new = library.merge(rows, self.scalars, self.order, self.tags).select("id", *self.scalars, self.tags)
-        else:
-            new = library.upsert(old, rows, self.scalars, (), self.order, self.tags).select("id", *self.scalars, self.tags)
-        new.write.mode("overwrite").parquet(f"{self.path}/version={batch_id}")
+        before, touched = self.layout(batch_id), [r[0] for r in rows.select(bucket).distinct().collect()]  # at most `buckets`
+        folders = [before[b] for b in touched if b in before]
+        new = library.merge(rows, self.scalars, self.order, self.tags) if not folders else library.upsert(self.spark.read.parquet(*folders), rows, self.scalars, (), self.order, self.tags)
+        new = new.select("id", *self.scalars, self.tags, bucket.alias("bucket")).repartition("bucket")
+        new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/version={batch_id}")
+        self._sweep(before, batch_id)
+
+    def _sweep(self, needed: dict[int, str], batch_id: int) -> None:
+        """Delete bucket folders of versions before this batch that are neither current nor what a replay of it reads."""
+        keep = {*needed.values(), *self.layout().values()}
+        for v in self._listed(self.path, "version"):
+            for b in self._listed(f"{self.path}/version={v}", "bucket") if v < batch_id else ():
+                folder = f"{self.path}/version={v}/bucket={b}"
+                if folder not in keep:
+                    p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                    p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def run_upserts(arrivals: DataFrame, table: LibraryTable, checkpoint: str, **trigger) -> StreamingQuery:

@@ -100,6 +100,21 @@ def test_stream_and_batch_upserts_agree_and_replays_change_nothing(spark, tmp_pa
     assert sorted(map(str, table.read().select("id", "v", "sources").collect())) == want
 
 
+def test_a_batch_writes_only_the_buckets_it_touches(spark, tmp_path):
+    rows = spark.range(200).selectExpr("cast(id as string) as id", "array('a') as sources", "id as seq", "id as v")
+    table = C.LibraryTable(spark, f"{tmp_path}/lib", ["v"], buckets=8)
+    table.apply(rows, 0)
+    first = table.layout()
+    for k in (1, 2, 3):
+        table.apply(rows.where("id = '7'").selectExpr("id", "array('b') as sources", "seq", f"{k} as v"), k)
+    moved = {b: f for b, f in table.layout().items() if f != first[b]}
+    assert len(first) == 8 and len(moved) == 1 and "version=3" in list(moved.values())[0] and table.last_version() == 3
+    got = {r["id"]: (r["v"], r["sources"]) for r in table.read().collect()}
+    assert len(got) == 200 and got["7"] == (3, ["a", "b"]) and got["8"] == (8, ["a"])
+    b = list(moved)[0]
+    assert [v for v in (0, 1, 2, 3) if b in table._listed(f"{tmp_path}/lib/version={v}", "bucket")] == [2, 3]
+
+
 def test_completion_stream(spark, tmp_path):
     rows = [("a", i, "page", i + 1, i < 3, str(i)) for i in range(4)] + [("b", i, "tick", 0, True, None) for i in range(9)]
     spark.createDataFrame(rows, "source string, seq long, kind string, count long, has_more boolean, cursor string").coalesce(1).write.parquet(f"{tmp_path}/ev")
