@@ -34,8 +34,8 @@ def kappa(conf: DataFrame) -> DataFrame:
     """axis, n, kappa; with full chance agreement 1 if all agree, else 0."""
     total = conf.groupBy("axis").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("g") == F.col("p"), F.col("n")).otherwise(0)).alias("agree"))
     a, b = conf.groupBy("axis", F.col("g").alias("v")).agg(F.sum("n").alias("a")), conf.groupBy("axis", F.col("p").alias("v")).agg(F.sum("n").alias("b"))
-    chance = a.join(b, ["axis", "v"]).groupBy("axis").agg(F.sum(F.col("a") * F.col("b")).alias("ab"))
-    t = total.join(chance, "axis", "left").withColumns({"po": X.ratio(F.col("agree"), F.col("n")), "pe": X.ratio(F.coalesce("ab", F.lit(0)), F.col("n") * F.col("n"))})
+    chance = a.join(b, ["axis", "v"]).groupBy("axis").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("ab"))
+    t = total.join(chance, "axis", "left").withColumns({"po": X.ratio(F.col("agree"), F.col("n")), "pe": X.ratio(F.coalesce("ab", F.lit(0.0)), F.col("n").cast("double") * F.col("n"))})
     return t.select("axis", "n", F.when(F.col("pe") >= 1, F.when(F.col("po") >= 1, 1.0).otherwise(0.0)).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
 
 

@@ -17,6 +17,10 @@ from tessera.operators import calibration, concepts, extraction, facets, groundi
 CLAIM_NOTE = "faithfulness/coverage require validated judge (Phase 4)"
 
 
+#: Ids without gold that a card names.
+LISTED = 20
+
+
 def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]
 
@@ -53,10 +57,12 @@ def _named(gold: DataFrame, pred: DataFrame, c: float, b: int, seed: int, rng: s
 
 
 def build(gold: DataFrame, pred: DataFrame, hierarchy: DataFrame | None = None, axes: DataFrame | None = None, c: float = 10.0, k: int = 5, b: int = 2000, seed: int = 0, rng: str = "pcg64") -> dict:
-    """Predictions without gold are dropped first; hierarchy is (child, parent), axes is (axis)."""
+    """Predictions without gold are dropped first, and counted and named (the first LISTED by id) in the card's meta;
+    hierarchy is (child, parent), axes is (axis)."""
     spark = gold.sparkSession
     gold, pred = A.last_wins(gold).cache(), A.last_wins(pred)
-    pred = A.known_and_unknown(gold, pred)[0].cache()
+    pred, unknown = A.known_and_unknown(gold, pred)
+    pred, unknown = pred.cache(), unknown.cache()
     layers: dict = {"named_entity": _named(gold, pred, c, b, seed, rng)}
 
     with_concepts = gold.where(F.size(F.coalesce("concepts", F.array())) > 0)
@@ -76,7 +82,7 @@ def build(gold: DataFrame, pred: DataFrame, hierarchy: DataFrame | None = None,
     each = {r["axis"]: r for r in _rows(facets.scores(facets.labels(gold, pred), axes))}
     scored = sum(r["status"] == "scored" for r in each.values())
     layers["facets"] = {"status": "scored" if scored else "skipped_no_data", "n_scored_axes": scored, "per_facet": each}
-    return {"layers": layers, "meta": {"schema_version": schemas.CONTRACT_VERSION, "seed": seed, "B": b, "c": c, "k": k}}
+    return {"layers": layers, "meta": {"schema_version": schemas.CONTRACT_VERSION, "seed": seed, "B": b, "c": c, "k": k, "n_unknown": unknown.count(), "unknown_ids": [r["item_id"] for r in unknown.limit(LISTED).collect()]}}
 
 
 def table(card: dict) -> list[tuple]:
@@ -100,6 +106,8 @@ def markdown(card: dict) -> str:
     lines = ["| layer | status | metric | value | 95 % CI | n |", "|---|---|---|---|---|---|"]
     for layer, status, metric, value, lo, hi, n in table(card):
         lines.append(f"| {layer} | {status} | {metric or '–'} | {fmt(value)} | {'–' if lo is None else f'[{fmt(lo)}, {fmt(hi)}]'} | {n} |")
+    if card["meta"]["n_unknown"]:
+        lines.append(f"\n{card['meta']['n_unknown']} predictions have no gold: {', '.join(card['meta']['unknown_ids'])}")
     return "\n".join(lines) + "\n"
 
 

@@ -25,9 +25,14 @@ def mentions_csv(index: DataFrame) -> DataFrame:
 
 
 def write_csv(lines: DataFrame, header: tuple[str, ...], path: str) -> None:
-    """Part files of ready lines under path, with the header in a file of its own that sorts first."""
-    lines.write.mode("overwrite").text(path)
-    lines.sparkSession.createDataFrame([(",".join(header),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}_header")
+    """Part files of ready lines under path, each with the header, so that any of them can be read alone."""
+    _with_header(lines, header).write.mode("overwrite").text(path)
+
+
+def _with_header(lines: DataFrame, header: tuple[str, ...]) -> DataFrame:
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its task
+    head = F.lit(",".join(header))
+    return lines.select(F.explode(F.when(first, F.array(head, F.col("value"))).otherwise(F.array("value"))).alias("value"))
 
 
 def json_bundle(items: DataFrame, index: DataFrame) -> DataFrame:
@@ -52,18 +57,23 @@ def _note(items: DataFrame) -> DataFrame:
         F.lit(""), F.lit("## Mentions"), bullet("output.mentions", lambda m: F.concat(F.lit("- [["), X.file_name(m["surface"]), F.lit("]] ("), m["type"], F.lit(")"))), F.lit(""),
         F.when(F.coalesce("url", F.lit("")) != "", F.concat(F.lit("[Open on TikTok]("), F.col("url"), F.lit(")"))).otherwise(""),
     )
-    return items.select(F.lit(0).alias("kind"), F.col("pos").cast("long").alias("at"), F.concat(F.lit("items/"), X.file_name(F.col("id"))).alias("stem"), body.alias("content"))
+    return items.select(F.lit(0).alias("kind"), F.col("pos").cast("long").alias("at"), F.concat(F.lit("items/"), X.file_name(F.col("id"))).alias("stem"), body.alias("content"), F.col("id").alias("own"))
 
 
 def vault(items: DataFrame, index: DataFrame) -> DataFrame:
-    """(path, content): a note an item (pos gives their order), a note an entity with links back; equal paths get -2, -3
-    and so on in order. A suffix that meets another name's own path is not looked for."""
+    """(path, content): a note an item (pos gives their order), a note an entity with links back. Of equal paths the first
+    in order has it, the others get -2, -3 and so on; where such a name is another note's own, the key's digest makes
+    it unique."""
     links = F.array_join(F.transform("item_ids", lambda i: F.concat(F.lit("- [["), i, F.lit("]]"))), "\n")
     content = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("type: "), F.col("type")), F.lit("---"), F.lit(""), F.concat(F.lit("# "), F.col("surface")), F.lit(""), F.lit("## Saved in"), links)
-    notes = index.select(F.lit(1).alias("kind"), F.xxhash64("key").alias("at"), F.concat(F.lit("entities/"), X.file_name(F.col("type")), F.lit("/"), X.file_name(F.col("surface"))).alias("stem"), content.alias("content"))
+    notes = index.select(F.lit(1).alias("kind"), F.xxhash64("key").alias("at"), F.concat(F.lit("entities/"), X.file_name(F.col("type")), F.lit("/"), X.file_name(F.col("surface"))).alias("stem"), content.alias("content"), F.col("key").alias("own"))
     rows = _note(items).unionByName(notes)
     n = F.row_number().over(Window.partitionBy("stem").orderBy("kind", "at"))
-    return rows.withColumn("n", n).select(F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""), F.lit(".md")).alias("path"), "content")
+    name = F.concat("stem", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.col("n").cast("string"))).otherwise(""))
+    rows = rows.withColumn("n", n).withColumn("name", name)
+    taken = F.row_number().over(Window.partitionBy("name").orderBy("n", "kind", "at"))
+    digest = F.concat(F.lit("-"), F.substring(F.sha2(F.concat(F.col("kind").cast("string"), F.lit(":"), F.col("own")), 256), 1, 12))
+    return rows.withColumn("taken", taken).select(F.concat("name", F.when(F.col("taken") > 1, digest).otherwise(""), F.lit(".md")).alias("path"), "content")
 
 
 def _evidence(ev: Column, ref: Column) -> Column:

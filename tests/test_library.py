@@ -96,6 +96,19 @@ def test_vault_suffixes(spark):
     assert "- [[Dune]] (book)" in notes["items/a_b-2.md"] and "# a:b" in notes["items/a_b-2.md"] and "- [[a:b]]" in notes["entities/book/Dune.md"]
 
 
+def test_vault_paths_are_all_different(spark):
+    kind = "id string, pos int, `desc` string, author string, url string, hashtags array<string>, lane string, output struct<mentions:array<struct<type:string,surface:string>>,claims:array<struct<statement:string>>>"
+    items = spark.createDataFrame([(i, k, "x", None, None, [], "l", ([], [])) for k, i in enumerate(("a/b", "a:b", "a_b-2", "a*b"))], kind)
+    paths = [r["path"] for r in sinks.vault(items, spark.createDataFrame([], "key string, type string, surface string, item_ids array<string>")).collect()]
+    assert len(set(paths)) == 4 and {"items/a_b.md", "items/a_b-3.md", "items/a_b-2.md"} <= set(paths)
+
+
+def test_csv_files_have_their_header(spark, tmp_path):
+    sinks.write_csv(spark.createDataFrame([(str(i),) for i in range(6)], "value string").repartition(2), ("n",), f"{tmp_path}/csv")
+    files = [[r["value"] for r in spark.read.text(str(f)).collect()] for f in (tmp_path / "csv").glob("part-*") if f.stat().st_size]
+    assert all(f[0] == "n" for f in files) and sorted(x for f in files for x in f[1:]) == [str(i) for i in range(6)]
+
+
 def test_csv_quotes_when_needed(spark):
     df = spark.createDataFrame([("a,b", 'say "x"', None, "plain")], "a string, b string, c string, d string")
     assert df.select(X.csv_row([F.col(c) for c in df.columns])).first()[0] == '"a,b","say ""x""",,plain'

@@ -120,6 +120,7 @@ def test_hashed_draws_agree_broadcast_or_joined(spark, monkeypatch):
 def test_no_blended_number(card):
     assert set(card) == {"layers", "meta"} and "0.615" in scorecard.markdown(card)
     assert len({r[0] for r in scorecard.table(card)}) == 5
+    assert card["meta"]["n_unknown"] == 1 and "1 predictions have no gold: elsewhere" in scorecard.markdown(card)
 
 
 def test_gates_name_the_line(spark, tmp_path):
