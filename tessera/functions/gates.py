@@ -17,6 +17,11 @@ def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is worked out once however often body names it, also within a function of elements."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _is_object(v: Column, path: str = "$") -> Column:
     return F.try_variant_get(v, path, "map<string,variant>").isNotNull()
 
@@ -125,8 +130,11 @@ def ordered(errors: Column) -> Column:
             path = F.regexp_replace(path, rf"\[(\d{{{digits}}})\]", "[" + "0" * (6 - digits) + "$1]")
         return path
 
-    by = F.array_sort(F.transform(errors, lambda e: F.struct(key(e).alias("path"), e.alias("e"))))
-    return F.when(F.size(errors) > 1, F.transform(by, lambda x: x["e"])).otherwise(errors)
+    def sorted_(found: Column) -> Column:
+        by = F.array_sort(F.transform(found, lambda e: F.struct(key(e).alias("path"), e.alias("e"))))
+        return F.when(F.size(found) > 1, F.transform(by, lambda x: x["e"])).otherwise(found)
+
+    return let(errors, sorted_)
 
 
 # What gold and prediction records hold.
@@ -203,8 +211,7 @@ def _evidence(e: Column) -> Column:
 
 
 def _evident(x: Column) -> Column:
-    ev = _items(x, "$.evidence")
-    return F.concat(_all((F.size(ev) > 0, "evidence is required")), _each(ev, _evidence, "evidence"))
+    return let(_items(x, "$.evidence"), lambda ev: F.concat(_all((F.size(ev) > 0, "evidence is required")), _each(ev, _evidence, "evidence")))
 
 
 _EXTRACTIONS = {
@@ -217,11 +224,19 @@ _EXTRACTIONS = {
 
 
 def extraction_errors(x: Column) -> Column:
-    kind = _text(x, "$.kind")
-    need = [(~F.coalesce(kind == k, F.lit(False)) | (_is_text(x, f"$.{f}")), f"{f} is required") for k, fs in _EXTRACTIONS.items() for f in fs]
-    typed = ~F.coalesce(kind == "named_entity", F.lit(False)) | _text(x, "$.type").isin(*schemas.TYPES)
-    facet = F.when((kind == "facet") & _text(x, "$.facet").isNotNull() & _text(x, "$.value").isNotNull(), F.create_map(F.coalesce(_text(x, "$.facet"), F.lit("")), _text(x, "$.value")))
-    return F.concat(_all((kind.isin(*_EXTRACTIONS), "kind is not one of the five"), (typed, "type is not one of the nine"), *need), _evident(x), facet_errors(facet, "$"))
+    def of_kind(kind: Column) -> Column:
+        """What an extraction of its kind must have, and no other kind's checks."""
+        typed = (_text(x, "$.type").isin(*schemas.TYPES), "type is not one of the nine")
+        out = F.array(F.lit("kind is not one of the five"))
+        for k, fs in _EXTRACTIONS.items():
+            own = _all(*([typed] if k == "named_entity" else []), *[(_is_text(x, f"$.{f}"), f"{f} is required") for f in fs])
+            if k == "facet":
+                pair = F.when(_text(x, "$.facet").isNotNull() & _text(x, "$.value").isNotNull(), F.create_map(F.coalesce(_text(x, "$.facet"), F.lit("")), _text(x, "$.value")))
+                own = F.concat(own, facet_errors(pair, "$"))
+            out = F.when(F.coalesce(kind == k, F.lit(False)), own).otherwise(out)
+        return out
+
+    return F.concat(let(_text(x, "$.kind"), of_kind), _evident(x))
 
 
 def extractor_output_errors(v: Column) -> Column:
