@@ -153,7 +153,7 @@ n AS (SELECT k.item_id, k.key, k.surface AS name, k.pos * 2 + CASE WHEN k.pos =
 d AS (SELECT item_id, key, name, min(o) AS o FROM n WHERE use GROUP BY 1, 2, 3)
 SELECT f.item_id, f.key, f.pos, k.type, k.surface, coalesce((SELECT string_agg(name, '|' ORDER BY o) FROM d WHERE d.item_id = f.item_id AND d.key = f.key AND d.name <> k.surface), '') AS aliases FROM f JOIN k ON k.item_id = f.item_id AND k.pos = f.pos""")
 def deduped_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _joined(L.dedupe_mentions(P.mentions(spark, sf_dir).drop("item_pos")), "aliases").select("item_id", "key", "pos", "type", "surface", "aliases")
+    return _joined(L.first_places(P.mentions(spark, sf_dir)), "aliases")
 
 
 _INDEX = f"""{P.MENTIONS}, k AS (SELECT *, type || ':' || name_key AS key FROM mm), per AS (SELECT key, item_id, min(item_pos) AS item_pos, min(pos) AS pos FROM k GROUP BY 1, 2),

@@ -1,5 +1,6 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +8,7 @@ from tessera.functions import gates
 from tessera.functions import scalars as X
 from tessera.operators import library as L
 from tessera.operators import linking
+from tessera.plans import collection
 from tessera.sources import pages, sinks
 
 
@@ -48,6 +50,27 @@ def test_mentions_dedupe_and_index(spark):
     assert (e["key"], e["surface"], e["item_ids"]) == ("book:dune", "The Dune", ["i", "j"])
 
 
+def crowded(folder):
+    """Tables where lines of one order share a place (a million apart in the part, one in the line), of one key and of
+    several, as parts above a million make them; some lines are there twice."""
+    part = [(k, ["red bolt", "blue ring", "old gear"][k % 3], f"Brand#{k % 4}", k % 5) for k in (*range(7), *range(1_000_000, 1_000_007))]
+    line = [(o, k + 1_000_000 * (n % 2), 3 + o % 2 - n % 2) for o in range(40) for k in range(7) for n in range(2) if (o + k) % 4] * 2
+    duckdb.sql(f"copy (select unnest(r, recursive := true) from (select unnest({[dict(zip(('p_partkey', 'p_name', 'p_brand', 'p_size'), r, strict=True)) for r in part]}) r)) to '{folder}/part.parquet'")
+    duckdb.sql(f"copy (select unnest(r, recursive := true) from (select unnest({[dict(zip(('l_orderkey', 'l_partkey', 'l_linenumber'), r, strict=True)) for r in line]}) r)) to '{folder}/lineitem.parquet'")
+    con = duckdb.connect()
+    for t in ("part", "lineitem"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return con
+
+
+def test_mentions_that_share_a_place_all_count(spark, tmp_path):
+    """deduped_mentions as its SQL has it where places are shared."""
+    con = crowded(tmp_path)
+    got = collection.QUERIES["deduped_mentions"](spark, str(tmp_path))
+    want = con.sql(f"select {', '.join(got.columns)} from ({collection.ORACLES['deduped_mentions']})").fetchall()
+    assert len(want) > 200 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_grounding_abstains_defers_and_caches(spark):
     mentions = linking.keyed(spark.createDataFrame([("i", 0, "book", "Dune"), ("i", 1, "place", "Joe's"), ("j", 0, "book", "dune"), ("j", 1, "game", "Nothing"), ("k", 0, "game", "Weak")], "item_id string, pos int, type string, surface string"))
     handles = spark.createDataFrame([("book", "kb", 0), ("game", "kb", 0)], "type string, source string, priority int")
