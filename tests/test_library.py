@@ -78,6 +78,14 @@ def test_index_has_every_mention_of_a_shared_place(spark, tmp_path):
     assert sorted(map(tuple, got.select("key", "type", "item_ids").collect())) == sorted(want)
 
 
+def test_mentions_csv_has_every_mention_of_a_shared_place(spark, tmp_path):
+    """mentions_csv as its SQL has it but for the surface, the third of four columns."""
+    want = crowded(tmp_path).sql(collection.ORACLES["mentions_csv"]).fetchall()
+    got = collection.QUERIES["mentions_csv"](spark, str(tmp_path)).collect()
+    without = lambda rows: sorted([*r[0].split(",")[:2], r[0].split(",")[3]] for r in rows)
+    assert without(got) == without(want)
+
+
 def test_grounding_abstains_defers_and_caches(spark):
     mentions = linking.keyed(spark.createDataFrame([("i", 0, "book", "Dune"), ("i", 1, "place", "Joe's"), ("j", 0, "book", "dune"), ("j", 1, "game", "Nothing"), ("k", 0, "game", "Weak")], "item_id string, pos int, type string, surface string"))
     handles = spark.createDataFrame([("book", "kb", 0), ("game", "kb", 0)], "type string, source string, priority int")
