@@ -264,7 +264,9 @@ def prompt_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT user_id, seq, max(asked_ms - i * 100000) OVER (PARTITION BY user_id ORDER BY seq) + i * 100000 AS started_ms FROM c""")
 def paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When calls start that are asked for at once but must be apart."""
-    calls = P.read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / 1000).alias("asked_ms"))
+    # to the nearest millisecond, halves away from zero, then without its thousandths, as SQL has it
+    asked = F.expr("(unix_micros(cast(ts as timestamp)) + if(unix_micros(cast(ts as timestamp)) < 0, -500, 500)) div 1000 div 1000")
+    calls = P.read(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), asked.alias("asked_ms"))
     return L.paced(calls, 100_000, "user_id").select("user_id", "seq", "started_ms")
 
 

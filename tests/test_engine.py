@@ -1,8 +1,10 @@
 import json
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.functions import engine as E
+from tessera.plans import records
 from tessera.sources import kb
 
 EV = [{"channel": "VERBAL_TEXT", "assertion_mode": "STATED", "confidence": 0.5}]
@@ -52,3 +54,14 @@ def test_wilson_and_sample_size(spark):
     lo, hi = E.wilson(F.lit(0), F.lit(0))
     r = spark.range(1).select(lo.alias("lo"), hi.alias("hi"), E.sample_size(F.lit(0.5), F.lit(0.05)).alias("n")).first()
     assert (r["lo"], r["hi"], r["n"]) == (0.0, 0.0, 385)
+
+
+def test_calls_are_asked_for_at_the_nearest_millisecond(spark, tmp_path):
+    """paced_calls as its SQL has it at the edges of a second, before 1970 too."""
+    con = duckdb.connect()
+    con.sql("set TimeZone = 'UTC'")
+    micros = [s * 1_000_000 + m for s in (1_704_067_200, 1_804_067_200, -5, 0) for m in (-501, -500, -499, 0, 499_500, 999_499, 999_500, 999_999)]
+    con.sql(f"create table events as select i as event_id, i % 5 as user_id, make_timestamp(m) as ts from (select unnest({micros}) as m, unnest(range({len(micros)})) as i)")
+    con.sql(f"copy events to '{tmp_path}/events.parquet'")
+    want = con.sql(f"select user_id, seq, started_ms from ({records.ORACLES['paced_calls']})").fetchall()
+    assert sorted(map(tuple, records.QUERIES["paced_calls"](spark, str(tmp_path)).collect())) == sorted(want)
