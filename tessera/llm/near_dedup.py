@@ -9,9 +9,9 @@ under a few edits, so the fingerprint here is of distinct words: pairs at a simi
 2. Ball hashing links fingerprints; units linked by any of them form candidate components.
 3. Units of a component that share two minima are a bucket, and so are units anywhere that share a band: a pair at 0.8
    shares one of the bands with 1 - (1 - 0.8^4)^20 = 99.997 %, whatever its length. Within a bucket units are
-   compared by the exact Jaccard similarity of their whole shingle sets: all of a small one, of a larger one its middle
-   with all others, round by round, until a round brings no link. Nothing below NEAR is ever linked; what can be missed
-   are single links between the outer members of large families (README has the figures).
+   compared by the exact Jaccard similarity of their whole shingle sets: all pairs of a small one; of a larger one each
+   unit with all others at once, in tasks, until all that are not yet joined have been compared. Nothing below NEAR is
+   ever linked, and no two units of a bucket that reach it stay apart.
 4. Components of the verified links keep the row of the smallest doc_id. Rows are known by doc_id and a hash of their
    whole text, so a row goes only if its own text is a copy.
 
@@ -39,8 +39,8 @@ SHINGLE, NEAR, FINGERPRINTS, HASHES, RADIUS = 5, 0.8, 1, 8, 2
 BANDS, BAND_ROWS = 20, 4
 #: Row keys of 16 bytes that are broadcast at most; beyond, the join shuffles.
 BROADCAST_KEYS = 500_000
-#: Units of a bucket that are compared one with another (of a larger one leaders are); rounds without a link that end the search.
-SMALL, QUIET = 8, 3
+#: Units of a bucket that become pairs of rows (a larger one goes to tasks whole), units to a chunk, rows to a task.
+SMALL, CHUNK, TASK_ROWS = 8, 2048, 20_000
 _MIX = np.random.default_rng(11).integers(1, 2**63, 2 * (HASHES + BANDS * BAND_ROWS), dtype=np.uint64) | np.uint64(1)
 
 
@@ -142,13 +142,13 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def buckets(units: DataFrame, members: DataFrame) -> DataFrame:
-    """(uid, bucket) of the units that have company in a bucket."""
+    """(uid, bucket, n) of the units that have company in a bucket, with the number of units there."""
     own = members.join(units.select("uid", "minima"), "uid")
     own = own.select("uid", F.explode(F.array(*[F.xxhash64("root", F.lit(k), F.col("minima")[k], F.col("minima")[k + 1]) for k in range(0, HASHES, 2)])).alias("bucket"))
     if "bands" in units.columns:
         own = own.unionByName(units.select("uid", F.posexplode("bands").alias("k", "band")).select("uid", F.xxhash64("k", "band").alias("bucket")))
     own = S.cut(own, "buckets")
-    return own.join(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "bucket").select("uid", "bucket")
+    return own.join(own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket").select("uid", "bucket", "n")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -157,45 +157,62 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.select("lx", "ly", "sx", "sy").mapInArrow(_similar, "a long, b long")
 
 
-def joined(own: DataFrame, sets: DataFrame, small: int = SMALL, quiet: int = QUIET) -> DataFrame:
-    """(a, root) of the components of near copies that share a bucket of own (uid, bucket).
+def _family(key: tuple, table: pa.Table) -> pa.Table:
+    """Edges (a, b) that join all units of a block that are near copies, over as many steps as it takes.
 
-    In a bucket of at most `small` units all are compared. In a larger one a leader is compared with all others: the
-    unit that meets the most others over all buckets, so the middle of its family; one whose label no earlier leader of
-    the bucket had goes first. It then leaves the bucket. Labels are the components so far; units of one label are not
-    compared, and buckets of one label are done with. Rounds go on until `quiet` in a row bring no link. So a round
-    compares no more pairs than there are rows in open buckets, however large a bucket is, and none twice.
+    A unit is compared with all others at once. Units of the largest component so far wait; when all others have had
+    their turn, every two units of different components have been compared, so no component is left in parts.
     """
-    n = own.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    own = own.join(n, "bucket")
-    degree = own.groupBy("uid").agg(F.sum("n").alias("degree"))
-    own = S.cut(own.join(degree, "uid").select("uid", "bucket", "n", "degree", F.col("uid").alias("label"), F.lit(False).alias("led")), "open")
-    label = S.cut(own.select("uid", "label").distinct(), "label")
-    few = own.where(F.col("n") <= small).select("bucket", F.col("uid").alias("x"), F.col("label").alias("lx"))
-    first = few.join(few.select("bucket", F.col("x").alias("y"), F.col("lx").alias("ly")), "bucket").where("x > y").select("x", "y", "lx", "ly")
-    idle, compared = 0, None
+    uid = np.asarray(table.column("uid"))
+    sets = [np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("shingles")]
+    size = np.array([len(x) for x in sets], dtype=np.int64)
+    ends = np.cumsum(size)
+    shingle = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    held, label, done, edges = np.zeros(shingle.max(initial=-1) + 1, dtype=bool), np.arange(len(uid)), np.zeros(len(uid), dtype=bool), []
     while True:
-        heads = own.where(F.col("n") > small).groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct("led", (-F.col("degree")).alias("rank"), "uid", "label")).alias("head")).where("lo <> hi")
-        heads = S.cut(heads.select("bucket", F.col("head.uid").alias("head"), F.col("head.label").alias("head_label")), "heads")
-        led = own.join(heads, "bucket").where("uid <> head")
-        over = F.col("uid") > F.col("head")
-        pairs = led.where("label <> head_label").select(F.greatest("uid", "head").alias("x"), F.least("uid", "head").alias("y"), F.when(over, F.col("label")).otherwise(F.col("head_label")).alias("lx"), F.when(over, F.col("head_label")).otherwise(F.col("label")).alias("ly"))
-        pairs = (pairs if first is None else pairs.unionByName(first)).distinct()
-        pairs = S.cut(pairs if compared is None else pairs.join(compared.select("x", "y"), ["x", "y"], "left_anti"), "pairs")
-        compared = pairs if compared is None else compared.unionByName(pairs)
-        tree = H.components(verified(pairs, sets))
-        idle, last = idle + 1 if tree.isEmpty() else 0, heads.isEmpty()
-        new = tree.select(F.col("a").alias("label"), "root")
-        old, label = label, S.cut(label.join(new, "label", "left").select("uid", F.coalesce("root", "label").alias("label")), "label")
-        if idle == quiet or last:
-            S.discard(compared, heads, own, old, tree)
-            return label.where("uid <> label").select(F.col("uid").alias("a"), F.col("label").alias("root"))
-        head_root = new.select(F.col("label").alias("head_label"), F.col("root").alias("head_root"))
-        heads_now = heads.join(head_root, "head_label", "left").select("bucket", "head", F.coalesce("head_root", "head_label").alias("head_now"))  # one row a bucket
-        named = own.join(heads_now, "bucket").where("uid <> head").join(new, "label", "left").withColumn("label", F.coalesce("root", "label"))
-        named = named.withColumn("led", F.col("led") | (F.col("label") == F.col("head_now")))
-        done, own, first = own, S.cut(named.select("uid", "bucket", "n", "degree", "label", "led"), "open"), None
-        S.discard(heads, old, done, tree)
+        waits = done | (label == np.bincount(label).argmax())
+        if waits.all():
+            break
+        x = int(waits.argmin())
+        own = shingle[ends[x] - size[x] : ends[x]]
+        held[own] = True
+        upto = np.r_[0, np.cumsum(held[shingle])]
+        held[own] = False
+        common = upto[ends] - upto[ends - size]
+        near = np.flatnonzero((common >= NEAR * (size + size[x] - common) - 1e-9) & (label != label[x]))
+        done[x] = True
+        met, first = np.unique(label[near], return_index=True)
+        edges += [(uid[x], uid[y]) for y in near[first]]
+        label[np.isin(label, met)] = label[x]
+    S.give_back()
+    a, b = (np.array([e[i] for e in edges], dtype=np.int64) for i in (0, 1))
+    return pa.table({"a": a, "b": b})
+
+
+def blocks(own: DataFrame, most: int = CHUNK) -> DataFrame:
+    """own (uid, bucket, n) with the blocks (i, j) that a unit of a bucket is in: buckets are dealt to chunks of about
+    `most` units and any two chunks of a bucket are a block, so any two units of it meet in one."""
+    chunks = F.ceil(F.col("n") / most).cast("int")
+    dealt = own.select("uid", "bucket", chunks.alias("chunks"), F.pmod(F.xxhash64("uid"), chunks).cast("int").alias("chunk"))
+    others = dealt.select("uid", "bucket", "chunk", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("chunks") - 1), F.col("chunk")))).alias("other"))
+    return others.select("uid", "bucket", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"))
+
+
+def joined(own: DataFrame, sets: DataFrame, small: int = SMALL, most: int = CHUNK) -> DataFrame:
+    """(a, root) of the components of near copies that share a bucket of own (uid, bucket, n: the bucket's units).
+
+    Of a bucket of at most `small` units all pairs are compared. A larger one goes to tasks in blocks, where units are
+    compared until no two of different components are left that were not.
+    """
+    few = own.where(F.col("n") <= small).select("bucket", F.col("uid").alias("x"), F.col("uid").alias("lx"))
+    pairs = few.join(few.select("bucket", F.col("x").alias("y"), F.col("lx").alias("ly")), "bucket").where("x > y").select("x", "y", "lx", "ly").distinct()
+    many = blocks(own.where(F.col("n") > small), most).join(sets, "uid")
+    tasks = max(2 * H.MOST_SPREAD, S.count_by_partition(own) // TASK_ROWS)
+    large = many.repartition(tasks, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInArrow(_family, "a long, b long")
+    edges = S.cut(verified(pairs, sets).unionByName(large), "near")
+    tree = S.cut(H.components(edges), "near_tree")
+    S.discard(edges)
+    return tree
 
 
 def duplicates(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

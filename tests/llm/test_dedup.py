@@ -230,6 +230,15 @@ def test_near_dedup_joins_families_as_brute_force_does(spark):
     assert near_classes(spark, texts[:60], 100) == jaccard_groups(dict(enumerate(texts[:60])))
 
 
+@pytest.mark.parametrize("most", [near_dedup.CHUNK, 60])
+def test_near_dedup_loses_no_link_of_a_large_family(spark, monkeypatch, most):
+    """Variants without their middle, few of them 0.8 alike: the groups are those of all pairs, in one block and in many."""
+    monkeypatch.setattr(near_dedup.joined, "__defaults__", (near_dedup.SMALL, most))
+    for n, seed in ((400, 400), (250, 7)):
+        texts = variants(n, 200, (2, 4, 6), seed)
+        assert near_classes(spark, texts) == jaccard_groups(dict(enumerate(texts)))
+
+
 def test_near_dedup_candidates_hold_short_and_hard_pairs():
     """Pairs at 0.8 or more, most of them short or near 0.8, share a band."""
     rng, found, of = random.Random(5), 0, 0
